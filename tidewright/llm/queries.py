@@ -64,4 +64,4 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p4_split, p4_found, p5_daily, p5_percentiles, p6_topn, p6_found, p8_ids, p8_decoded, p9_packed)}
+QUERIES = {f.__name__: f for f in (p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p8_ids, p8_decoded, p9_packed)}
