@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import encode, pack, quantiles, split, topn
-from tidewright.session import durable, table
+from tidewright.llm import encode, pack, pii, quantiles, split, topn
+from tidewright.session import durable, spread, table
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -51,6 +51,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_topn(spark, d).select("query_id", "chunk_id")
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Each message once; the table repeats some rows as a whole."""
+    return spread(table(spark, d, "chat_messages", "message_id", "content").dropDuplicates(["message_id", "content"]))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(_messages(spark, d), "message_id", "content", table(spark, d, "given_names"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_items(spark, d).select("message_id", "pii_type", "start_char")
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(_messages(spark, d), "message_id", "content", durable(p7_items(spark, d)))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -64,4 +81,4 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p8_ids, p8_decoded, p9_packed)}
+QUERIES = {f.__name__: f for f in (p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed)}
