@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import encode, pack, pii, quantiles, split, topn
+from tidewright.llm import encode, pack, pairs, pii, quantiles, split, topn
 from tidewright.session import durable, spread, table
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
+def p2_defects(spark: SparkSession, d: str) -> DataFrame:
+    """All defects of each pair, in the order of the rules."""
+    chats = pairs.completions(table(spark, d, "chat_completions", "completion_id", "messages", "choices"))
+    agents = pairs.runs(table(spark, d, "agent_runs", "run_id", "task", "final_answer"))
+    both = chats.select(F.lit("chat_completions").alias("source"), "*").unionByName(agents.select(F.lit("agent_runs").alias("source"), "*"))
+    return pairs.judge(both)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_defects(spark, d).where("place = 0").select("source", "pair_id", "defect")
+
+
 def p4_split(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "text_chunks", "chunk_id", "text"), "chunk_id", "text")
 
@@ -81,4 +93,4 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_defects, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed)}
