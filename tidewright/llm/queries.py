@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import encode, pack, pairs, pii, quantiles, split, topn
+from tidewright.llm import encode, mojibake, pack, pairs, pii, quantiles, split, topn
 from tidewright.session import durable, spread, table
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -93,4 +93,12 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_defects, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed)}
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair(table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_restored(spark, d).where("damaged").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_defects, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed, p10_found, p10_restored)}
