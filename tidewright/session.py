@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +54,17 @@ def tidy(name: str | Column) -> Column:
     """A double with -0.0 folded into 0.0; NaN and null become null."""
     c = F.col(name) if isinstance(name, str) else name
     return F.when(~F.isnan(c), c.cast("double") + F.lit(0.0))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context: workers import the functions that tasks call."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidewright-"), f"{package.name}.zip")  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidewright_shipped = True
