@@ -5,12 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import encode, mojibake, pack, pairs, pii, quantiles, split, topn
+from tidewright.llm import encode, mojibake, neardup, pack, pairs, pii, quantiles, split, topn
 from tidewright.session import durable, spread, table
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
+#: TESTDATA.md asks for word triples and half of them in common.
+NEAR = {"k": 3, "least": 0.5, "bands": 24, "rows": 3, "radius": 50}
+TEXTS = {"text_chunks": ("chunk_id", "text"), "cache_entries": ("entry_id", "key")}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of near copies of each table."""
+    out = []
+    for name, (key, text) in TEXTS.items():
+        found = neardup.expand(*neardup.similar(table(spark, d, name, key, text), key, text, **NEAR))
+        out.append(found.select(F.lit(name).alias("source"), "id_a", "id_b"))
+    return out[0].unionByName(out[1])
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The class and group of every row, without pairs of copies."""
+    out = []
+    for name, (key, text) in TEXTS.items():
+        members, pairs = neardup.similar(table(spark, d, name, key, text), key, text, **NEAR)
+        out.append(neardup.groups(members, durable(pairs)).select(F.lit(name).alias("source"), "id", "same", "group", "links"))
+    return out[0].unionByName(out[1])
+
+
 def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     """All defects of each pair, in the order of the rules."""
     chats = pairs.completions(table(spark, d, "chat_completions", "completion_id", "messages", "choices"))
@@ -101,4 +124,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).where("damaged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_defects, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed, p10_found, p10_restored)}
