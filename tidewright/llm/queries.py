@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import encode, mojibake, neardup, pack, pairs, pii, quantiles, split, topn
+from tidewright.llm import encode, mojibake, neardup, neighbours, pack, pairs, pii, quantiles, split, topn
 from tidewright.session import durable, spread, table
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -46,6 +46,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_defects(spark, d).where("place = 0").select("source", "pair_id", "defect")
 
 
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """source, vec_id, neighbor_id, score, place for all four collections; embed_results counts by model."""
+    calls = table(spark, d, "embed_results", "model", "dimensions", "vec_ids", "embeddings")
+    each = calls.select("model", F.inline(F.arrays_zip(F.col("vec_ids").alias("id"), F.col("embeddings").alias("vec"))))
+    models = calls.groupBy("model").agg(F.mode("dimensions", True).alias("dim")).where("dim > 0").orderBy("model").collect()  # a row per model
+    sets = [
+        ("text_chunks", 64, table(spark, d, "text_chunks", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))),
+        ("memory_entries", 64, table(spark, d, "memory_entries", F.col("memory_id").alias("id"), F.col("embedding").alias("vec"))),
+        *[("embed_results", r["dim"], each.where(F.col("model").eqNullSafe(r["model"])).select("id", "vec")) for r in models],
+    ]
+    out = None
+    for source, dim, rows in sets:
+        found = neighbours.neighbours(rows, "id", "vec", dim).select(F.lit(source).alias("source"), F.col("id").alias("vec_id"), "neighbor_id", "score", "place")
+        out = out.unionByName(found) if out else found
+    return out
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_neighbours(spark, d).select("source", "vec_id", "neighbor_id")
+
+
 def p4_split(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "text_chunks", "chunk_id", "text"), "chunk_id", "text")
 
@@ -124,4 +145,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).where("damaged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed, p10_found, p10_restored)}
