@@ -250,10 +250,14 @@ def _candidates(shards: DataFrame, radius: int, chunk: int = 1 << 19) -> DataFra
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _bitmap(ids: DataFrame) -> bytes:
-    """A bit for each hash of a class; its size is fixed, so any number of classes can be told from the rest in part."""
-    place = F.pmod(F.xxhash64("same"), F.lit(BITMAP_BITS)) + 1  # Spark counts buckets and their bits from 1
-    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+def _place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)).cast("int")
+
+
+def _bitmap(rows: DataFrame, column: str) -> bytes:
+    """A bit for each hash of the column; its size is fixed, so any number of values can be told from the rest in part."""
+    place = _place(column) + 1  # Spark counts buckets and their bits from 1
+    parts = rows.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     out = bytearray(BITMAP_BITS // 8)
     for r in parts.collect():  # 1 MB in all
         m = bytes(r["m"])
@@ -261,21 +265,29 @@ def _bitmap(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _sets(df: DataFrame, prepared: DataFrame, wanted: bytes, id_col: str, text_col: str, k: int) -> DataFrame:
-    """same, tuples (as bytes) of one text of each wanted class (a few others may come along)."""
-    first = prepared.where("keys IS NOT NULL").select("id", "same")
-    sent = df.sparkSession.sparkContext.broadcast(wanted)
-    place = F.pmod(F.xxhash64("same"), F.lit(BITMAP_BITS)).cast("int")
-    kind = dict(first.dtypes)["id"]
+def _marked(rows: DataFrame, column: str, bitmap: bytes) -> DataFrame:
+    """The rows whose column has its bit set: all that are wanted and, by chance, some more."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            yield batch.filter(pa.array(((bits[p >> 3] >> (p & 7)) & 1).astype(bool))).select([0, 1])
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array(((bits[p >> 3] >> (p & 7)) & 1).astype(bool))).select(list(range(batch.num_columns - 1)))
+
+    return rows.withColumn("__place", _place(column)).mapInArrow(keep, schema)
 
-    some = first.select("id", "same", place.alias("p")).mapInArrow(keep, f"id {kind}, same bigint").groupBy("same").agg(F.min("id").alias("id"))
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").join(some, "id")
+
+def _sets(df: DataFrame, prepared: DataFrame, ends: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """same, tuples (as bytes) of one text of each class in ``ends`` (a few others may come along).
+
+    Bitmaps keep the texts that no pair asks for out of the join's shuffle.
+    """
+    first = _marked(prepared.where("keys IS NOT NULL").select("id", "same"), "same", _bitmap(ends, "same"))
+    some = durable(first.groupBy("same").agg(F.min("id").alias("id")))
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    texts = _marked(texts, "id", _bitmap(some, "id")).join(some, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +331,7 @@ def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float
     shards = _shards(prepared, bands)
     pairs = durable(_candidates(_blocks(shards, _hot(shards, shard_limit)), radius))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("same"))
-    checked = _checked(pairs, _sets(df, prepared, _bitmap(ends), id_col, text_col, k), least)
+    checked = _checked(pairs, _sets(df, prepared, ends, id_col, text_col, k), least)
     return prepared.select("id", "same"), checked
 
 
