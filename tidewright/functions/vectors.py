@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -39,33 +41,41 @@ def unit(v: Column) -> Column:
     return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
 
 
-def _bucket(word: Column, dim: int) -> Column:
-    """md5 modulo a power of two up to 256: the digest's last two hex digits decide."""
-    return (F.conv(F.right(F.md5(word.cast("binary")), F.lit(2)), 16, 10).cast("int") % dim).cast("int")
-
-
-def _counts(parts: Column, dim: int) -> Column:
-    """Slot counts as a unit vector; hashing stays in the JVM, counting is one bincount per Arrow batch."""
+def _hash_counts(parts: pd.Series, dim: int, memo: dict[str, int]) -> pd.Series:
+    """Counts of md5-hashed parts modulo ``dim`` (a power of two up to 256), as unit vectors.
 
-    @F.pandas_udf("array<double>")
-    def spread(slots: pd.Series) -> pd.Series:
-        n = slots.map(len).to_numpy()
-        flat = np.concatenate(slots.to_list()) if n.sum() else np.zeros(0, np.int64)
-        x = np.bincount(np.repeat(np.arange(len(n)), n) * dim + flat.astype(np.int64), minlength=len(n) * dim).reshape(len(n), dim).astype(float)
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.Series(list(x / np.where(length == 0, 1, length)))
-
-    return spread(F.transform(parts, lambda w: _bucket(w, dim)))
+    Each distinct part is hashed once per worker; counting is one bincount per Arrow batch.
+    """
+    n = parts.map(len).to_numpy()
+    flat = [x for own in parts for x in own]
+    fresh = set(flat).difference(memo)
+    if len(memo) > 1_000_000:
+        memo.clear()
+        fresh = set(flat)
+    memo.update((x, md5(x.encode("utf-8", "surrogatepass")).digest()[-1]) for x in fresh)
+    slots = np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat)) % dim
+    x = np.bincount(np.repeat(np.arange(len(n)), n) * dim + slots, minlength=len(n) * dim).reshape(len(n), dim).astype(float)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return pd.Series(list(x / np.where(length == 0, 1, length)))
 
 
 def word_embedding(text: Column, dim: int = 128) -> Column:
     """Counts of hashed words, as a unit vector; zeros for null and blank texts."""
-    return _counts(eval_tokens(text), dim)
+    memo: dict[str, int] = {}
+
+    @F.pandas_udf("array<double>")
+    def embed(words: pd.Series) -> pd.Series:
+        return _hash_counts(words, dim, memo)
+
+    return embed(eval_tokens(text))
 
 
 def trigram_embedding(text: Column, dim: int = 128) -> Column:
     """Counts of hashed character triples of the lower-case text, as a unit vector; zeros for texts under three characters."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    last = F.length(t) - 2
-    parts = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return _counts(parts, dim)
+    memo: dict[str, int] = {}
+
+    @F.pandas_udf("array<double>")
+    def embed(lower: pd.Series) -> pd.Series:
+        return _hash_counts(lower.map(lambda t: [t[i : i + 3] for i in range(len(t) - 2)]), dim, memo)
+
+    return embed(F.lower(F.coalesce(text, F.lit(""))))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.text import eval_tokens, exact_form
 from tidewright.functions.vectors import dot, word_embedding
@@ -13,7 +14,7 @@ from tidewright.functions.vectors import dot, word_embedding
 METRICS = ("bleu", "rouge1", "rouge2", "rouge_l", "semantic", "exact_match", "f1")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _overlap(cand: pd.Series, ref: pd.Series) -> pd.Series:
     """For n = 1 to 4: clipped matches and number of the candidate's n-grams, then the numbers of distinct n-grams of both."""
     out = []
@@ -36,7 +37,7 @@ def _overlap(cand: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(cand: pd.Series, ref: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, a row of the table at a time."""
     out = []

@@ -162,7 +162,7 @@ def health(log: DataFrame) -> DataFrame:
 
 def sliding(log: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     """At each request: mean latency, error rate, cost and tokens of the ``seconds`` up to it, and throughput over its span."""
-    w = Window.partitionBy(*keys).orderBy("epoch").rangeBetween(-seconds, Window.currentRow)
+    w = Window.partitionBy(*keys).orderBy(F.round(F.col("epoch") * 1e6).cast("bigint")).rangeBetween(-int(seconds * 1e6), Window.currentRow)
     n = F.count("*").over(w)
     span = F.greatest(F.max("epoch").over(w) - F.min("epoch").over(w), F.lit(0.001))
     return log.select(

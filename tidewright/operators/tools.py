@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.text import search_tokens
 
@@ -47,7 +48,7 @@ def calculate(expression: str | None) -> str | None:
         return f"Error: {e}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def calculator(expression: pd.Series) -> pd.Series:
     return expression.map(calculate)
 
