@@ -466,13 +466,13 @@ def _by_target_sql(where: str = "", seconds: float = 0) -> str:
     return f"""WITH {_LOG} SELECT provider, model, count(*) AS requests, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, round(sum(latency_ms), 3) AS latency_sum,
 min(latency_ms) AS latency_min, max(latency_ms) AS latency_max, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(cost), 6) AS cost,
 count(*) FILTER (cached) AS cached, count(latency_ms) AS measured, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99,
-round(count(*) FILTER (success) / count(*), 6) AS success_rate, round(coalesce(avg(latency_ms), 0), 6) AS avg_latency, round(coalesce(sum(cost), 0) / count(*), 7) AS avg_cost,
+round(count(*) FILTER (success) / count(*), 6) AS success_rate, round(coalesce(avg(latency_ms), 0), 6) AS avg_latency, round(coalesce(sum(cost), 0) / count(*) + 1e-12, 7) AS avg_cost,
 {f"round(count(*) / {seconds}::DOUBLE, 9)" if seconds else "0.0::DOUBLE"} AS throughput FROM log {where} GROUP BY provider, model"""
 
 
 def _target_rows(df: DataFrame) -> DataFrame:
     places = {"latency_sum": 3, "cost": 6, "p50": 6, "p95": 6, "p99": 6, "success_rate": 6, "avg_latency": 6, "avg_cost": 7, "throughput": 9}
-    return df.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
+    return df.select(*[F.round(F.col(c) + (1e-12 if c == "avg_cost" else 0.0), places[c]).alias(c) if c in places else F.col(c) for c in df.columns])  # sums may end on a half
 
 
 @query(_by_target_sql())
