@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 def text_folder(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """path and text of every ``*.txt`` file below a folder, one row a file; ``first`` keeps the first by path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     rows = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return rows.orderBy("path").limit(first) if first else rows
 
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.lit(path).alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
