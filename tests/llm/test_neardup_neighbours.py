@@ -127,3 +127,11 @@ def test_additive_codes_come_close():
     one, four = (np.square(x - neighbours.encode(x, books[:m])[1]).sum() for m in (1, 4))
     greedy = np.square(x - neighbours.encode(x, books, beam=1)[1]).sum()
     assert four < 0.35 * one and four <= greedy
+
+
+def test_many_copies_stand_for_themselves_by_one_row(spark):
+    rows = [(i, "one copy of a rather long and equal text") for i in range(40)] + [(50, "one copy of a rather long and equal word"), (51, "one copy of a rather long and equal word")]
+    members, pairs = neardup.similar(spark.createDataFrame(rows, "k bigint, body string"), "k", "body", k=3, least=0.5, bands=24, rows=3, radius=46)
+    full = {tuple(r) for r in neardup.expand(members, pairs).collect()}
+    assert len(full) == 40 * 39 // 2 + 80 + 1
+    assert {tuple(r) for r in neardup.expand(members, pairs, 10).collect()} == {(0, i) for i in range(1, 40)} | {(0, 50), (0, 51), (50, 51)}

@@ -335,15 +335,23 @@ def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float
     return prepared.select("id", "same"), checked
 
 
-def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs of rows (id_a, id_b), id_a < id_b: of similar classes, and of one class."""
+def expand(members: DataFrame, pairs: DataFrame, copies: int = 1000) -> DataFrame:
+    """Pairs of rows (id_a, id_b), id_a < id_b: of similar classes, and of one class.
+
+    All pairs of rows, also between copies, as long as a class has at most ``copies`` rows. A larger class of equal
+    texts stands for itself by its smallest id: that id is linked with every copy and with the classes similar to
+    its own, so no link between different texts is lost and the result stays linear in the copies.
+    """
     once = members.distinct()
-    a, b = once.select(F.col("same").alias("a"), F.col("id").alias("x")), once.select(F.col("same").alias("b"), F.col("id").alias("y"))
+    sizes = once.groupBy("same").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1")  # counted map-side first
+    known = durable(once.join(sizes, "same", "left"))
+    stands = known.where(F.coalesce("n", F.lit(1)) <= copies).unionByName(known.where((F.col("n") > copies) & (F.col("id") == F.col("rep"))))
+    a, b = stands.select(F.col("same").alias("a"), F.col("id").alias("x")), stands.select(F.col("same").alias("b"), F.col("id").alias("y"))
     across = pairs.select("a", "b").join(a, "a").join(b, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    several = once.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same")
-    own = once.join(several, "same")
+    own = known.where((F.col("n") > 1) & (F.col("n") <= copies))
     within = own.select("same", F.col("id").alias("id_a")).join(own.select("same", F.col("id").alias("id_b")), "same").where("id_a < id_b").select("id_a", "id_b")
-    return across.unionByName(within)
+    star = known.where((F.col("n") > copies) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    return across.unionByName(within).unionByName(star)
 
 
 def groups(members: DataFrame, pairs: DataFrame, most: int = 30) -> DataFrame:

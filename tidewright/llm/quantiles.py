@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FIELDS = ("n", "err", "value", "rmin", "rmax")
 SUMMARY = "n bigint, err double, value array<double>, rmin array<double>, rmax array<double>"
 
 
@@ -71,7 +72,11 @@ def query(s: dict, q: float) -> float:
 
 
 def _pack(key: tuple, names: list[str], s: dict) -> dict:
-    return dict(zip(names, key)) | {x: s[x] if x in ("n", "err") else s[x].tolist() for x in ("n", "err", "value", "rmin", "rmax")}
+    return dict(zip(names, key)) | {x: s[x] if x in ("n", "err") else s[x].tolist() for x in FIELDS}
+
+
+def _key(name) -> tuple:
+    return tuple(None if pd.isna(x) else x for x in (name if isinstance(name, tuple) else (name,)))
 
 
 def _fields(keys: list[str], kinds: dict[str, str]) -> str:
@@ -85,71 +90,86 @@ def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
 def summarise(df: DataFrame, keys: list[str], value: str | Column, k: int = 2000) -> DataFrame:
     """One summary per key and input partition, built map-side; nothing is shuffled.
 
-    A partition holds its values of a group only while a bounded buffer fills (``64 * k`` numbers); then they
-    are folded into the group's summary. Null and NaN values are left out; null keys are keys of their own.
+    A partition is sorted by key and value, so it holds one key's summary and a buffer of ``64 * k`` numbers at a time
+    and gives the same result on each run. Null and NaN values are left out; null keys are keys of their own.
     """
     v = value if isinstance(value, Column) else F.col(f"`{value}`")
-    rows = df.select(*[F.col(f"`{x}`") for x in keys], v.cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
+    rows = df.select(*[F.col(f"`{x}`") for x in keys], (v.cast("double") + F.lit(0.0)).alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
     kinds = dict(rows.dtypes)
-    columns = [*keys, "n", "err", "value", "rmin", "rmax"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list[np.ndarray]] = {}
-        done: dict[tuple, dict] = {}
-
-        def fold(key: tuple) -> None:
-            s = build(np.concatenate(held.pop(key)), k)
-            done[key] = compress(merge(done[key], s), k) if key in done else s
+    def own(buffers: list[np.ndarray]) -> dict:
+        return build(np.concatenate(buffers), k)
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, done = None, [], None
         for pdf in parts:
             grouped = pdf.groupby(keys, dropna=False, sort=False)["__v"] if keys else [((), pdf["__v"])]
-            for key, x in grouped:
-                key = tuple(None if pd.isna(y) else y for y in (key if isinstance(key, tuple) else (key,)))
-                held.setdefault(key, []).append(x.to_numpy(float))
-                if sum(map(len, held[key])) >= 64 * k:
-                    fold(key)
-        for key in list(held):
-            fold(key)
-        if done:
-            yield _frame([_pack(key, keys, s) for key, s in done.items()], columns)
-
-    return rows.mapInPandas(run, f"{_fields(keys, kinds)}{', ' if keys else ''}{SUMMARY}")
+            out = []
+            for name, x in grouped:
+                name = _key(name)
+                if key is not None and name != key:
+                    done = own(held) if done is None else merge(done, own(held)) if held else done
+                    out.append(_pack(key, keys, compress(done, k)))
+                    held, done = [], None
+                key = name
+                held.append(x.to_numpy(float))
+                if sum(map(len, held)) >= 64 * k:
+                    done, held = own(held) if done is None else compress(merge(done, own(held)), k), []
+            if out:
+                yield _frame(out, [*keys, *FIELDS])
+        if key is not None:
+            if held:
+                done = own(held) if done is None else merge(done, own(held))
+            yield _frame([_pack(key, keys, compress(done, k))], [*keys, *FIELDS])
+
+    ordered = rows.sortWithinPartitions(*[F.col(f"`{x}`") for x in keys], "__v")
+    return ordered.mapInPandas(run, f"{_fields(keys, kinds)}{', ' if keys else ''}{SUMMARY}")
 
 
 def combine(summaries: DataFrame, keys: list[str], k: int = 2000, fan: int = 16) -> DataFrame:
     """Merge summaries that share a key, in two levels.
 
     Level one merges at most about 1/fan of a key's summaries per task, level two the ``fan`` results, so a hot
-    key is spread. Both levels fold one summary at a time and compress between folds, so memory stays at a few
-    times k tuples per key.
+    key is spread. Summaries come sorted by key and content; one key is open at a time, as a binary counter of
+    summaries, so that each is compressed a logarithmic number of times and the result is the same on each run.
     """
     kinds = dict(summaries.dtypes)
-    columns = [*keys, "n", "err", "value", "rmin", "rmax"]
+    columns = [*keys, *FIELDS]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels: dict[tuple, dict[int, dict]] = {}  # like a binary counter: each summary is compressed log times
+        key, own = None, {}
+
+        def close() -> dict:
+            s = None
+            for level in sorted(own):
+                s = own[level] if s is None else merge(s, own[level])
+            return _pack(key, keys, compress(s, k))
+
         for pdf in parts:
+            out = []
             for row in pdf.itertuples(index=False):
-                key = tuple(None if pd.isna(x) else x for x in row[: len(keys)])
+                name = _key(row[: len(keys)])
+                if key is not None and name != key:
+                    out.append(close())
+                    own = {}
+                key = name
                 s = dict(n=row.n, err=row.err, value=np.asarray(row.value), rmin=np.asarray(row.rmin), rmax=np.asarray(row.rmax))
-                own, level = levels.setdefault(key, {}), 0
+                level = 0
                 while level in own:
                     s, level = compress(merge(own.pop(level), s), k), level + 1
                 own[level] = s
-        if levels:
-            rows = []
-            for key, own in levels.items():
-                s = None
-                for level in sorted(own):
-                    s = own[level] if s is None else merge(s, own[level])
-                rows.append(_pack(key, keys, compress(s, k)))
-            yield _frame(rows, columns)
+            if out:
+                yield _frame(out, columns)
+        if key is not None:
+            yield _frame([close()], columns)
 
     schema = f"{_fields(keys, kinds)}{', ' if keys else ''}{SUMMARY}"
-    salted = summaries.select(*columns).repartition(*[F.col(f"`{x}`") for x in keys], F.pmod(F.xxhash64("value", "n"), F.lit(fan)))
+    named = [F.col(f"`{x}`") for x in keys]
+    content = F.xxhash64("n", "value", "rmin")
+    salted = summaries.select(*columns).repartition(*named, F.pmod(content, F.lit(fan))).sortWithinPartitions(*named, content)
     once = salted.mapInPandas(run, schema)
-    last = once.repartition(*[F.col(f"`{x}`") for x in keys]) if keys else once.coalesce(1)
-    return last.mapInPandas(run, schema)
+    last = once.repartition(*named) if keys else once.coalesce(1)
+    return last.sortWithinPartitions(*named, content).mapInPandas(run, schema)
 
 
 def percentiles(summaries: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
@@ -161,7 +181,7 @@ def percentiles(summaries: DataFrame, keys: list[str], qs: dict[str, float]) ->
         for pdf in parts:
             rows = []
             for row in pdf.itertuples(index=False):
-                s = {x: np.asarray(getattr(row, x)) if x in ("value", "rmin", "rmax") else getattr(row, x) for x in ("n", "err", "value", "rmin", "rmax")}
+                s = {x: np.asarray(getattr(row, x)) if x in ("value", "rmin", "rmax") else getattr(row, x) for x in FIELDS}
                 rows.append([*(None if pd.isna(x) else x for x in row[: len(keys)]), row.n, row.err, *(query(s, q) for q in qs.values())])
             yield _frame(rows, names)
 
