@@ -18,13 +18,13 @@ ORDER = ("empty", "copy", "refusal", "truncated", "other_language")
 
 # Frequent function words, by which the language of a text is told.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that for with on as by from at this are be it an or not which was while than can how why what does after before under into between without you i my".split(),
-    "de": "der die das und ist in den von zu mit auf für im dem nicht ein eine des sich auch als an es bei nach aus wie oder wird über vor seit zum zur wegen ohne bitte warum was ich".split(),
-    "fr": "le la les de des du et est en un une que qui dans pour sur pas par au avec ce il sont à plus ne se ou où mais cette après sans chez entre même côté quel pourquoi comment l d qu quoi n j explique".split(),
-    "es": "el la los las de del y es en un una que por para con no se su al lo como más o pero sus este desde sin sobre entre cuando qué cómo según tras hasta también mañana fin".split(),
-    "pt": "o a os as de do da dos das e é em um uma que por para com não se no na ao como mais ou mas pelo pela até sem sobre entre quando são está também à às num numa foi já".split(),
-    "it": "il lo la gli le di del della e è in un una che per con non si su al come più o ma sono dal nel alla anche questo".split(),
-    "nl": "de het een en van is in op te dat die voor met niet zijn aan er om ook als bij door naar uit maar wordt".split(),
+    "en": "the of and to in is that for with on as by from this are be it an or not which was while than can how why what does after before".split(),
+    "de": "der die das und ist in den von zu mit auf für im dem nicht ein eine des sich auch an es bei nach aus wie oder wird vor seit zum wegen ohne".split(),
+    "fr": "le la les de des du et est en un une que qui dans pour sur pas par au avec ce sont ne se cette après sans quel pourquoi quoi comment l d qu".split(),
+    "es": "el la los las de del y es en un una que por para con no se su al lo como más o pero este desde sin sobre cuando qué según tras también".split(),
+    "pt": "o a os as de do da dos e é em um uma que por para com não se no na ao como mais ou pelo até sem sobre quando são à já".split(),
+    "it": "il lo gli di del della e è un che per non sono anche nel".split(),
+    "nl": "de het een van en te dat voor met niet zijn aan ook wordt".split(),
 }
 #: How a prompt names a language, in the languages prompts are written in.
 LANGUAGE_NAMES = {
