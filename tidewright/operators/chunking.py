@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 Chunk = tuple[str, int, int]  # text, start, end
 
-#: Separators of the recursive chunker, coarse to fine, and of the fixed-size one.
+# Separators of the recursive chunker, coarse to fine, and of the fixed-size one; ends of sentences,
+# headers and gaps between paragraphs.
 SEPARATORS = ("\n\n", "\n", ". ", "。", " ", "")
 BREAKS = (". ", "\n", " ")
 _SENTENCE = re.compile(r"(?<=[.!?。！？\n])\s+")
 _HEADER = re.compile(r"^#{1,6}\s+.+$", re.M)
+_GAP = re.compile(r"\n\s*\n")
 
 
 def sliding_window(docs: DataFrame, id_col: str, text_col: str, size: int = 100, overlap: int = 20) -> DataFrame:
@@ -100,7 +102,7 @@ def by_paragraph(text: str, size: int = 1000) -> list[Chunk]:
     out: list[Chunk] = []
     held: list[str] = []
     at = 0
-    for p in [*filter(None, map(str.strip, re.split(r"\n\s*\n", text))), None]:
+    for p in [*filter(None, map(str.strip, _GAP.split(text))), None]:
         if p is not None and len(p) <= size:
             held.append(p)
             continue

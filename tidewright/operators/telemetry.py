@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -209,20 +209,35 @@ def windowed(log: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
-def error_class(message: Column) -> Column:
-    """What an error message speaks of: the first of timeout, rate_limit, auth, context_length, else provider_error."""
+def _any(message: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [message.contains(w) for w in words])
+
+
+# What the two error classifiers look for, in their orders; all groups of a class must be met.
+FALLBACK_CLASSES = (
+    ("timeout", (("timeout", "timed out"),)),
+    ("rate_limit", (("429", "rate limit"),)),
+    ("auth_error", (("401", "unauthorized", "auth"),)),
+    ("context_length", (("context",), ("length", "exceed"))),
+)
+PROVIDER_CLASSES = (
+    ("auth_error", (("401", "unauthorized", "invalid api key"),)),
+    ("rate_limit", (("429", "rate limit"),)),
+    ("timeout", (("timeout", "timed out"),)),
+    ("context_length", (("context_length", "maximum context"),)),
+    ("bad_request", (("400",),)),
+)
+
+
+def error_class(message: Column, classes: tuple = FALLBACK_CLASSES) -> Column:
+    """The first class whose words the message has, in any case; ``provider_error`` if none, also for null."""
     m = F.lower(F.coalesce(message, F.lit("")))
-    any_ = lambda *w: reduce(or_, [m.contains(x) for x in w])
-    return (
-        F.when(any_("timeout", "timed out"), "timeout").when(any_("429", "rate limit"), "rate_limit").when(any_("401", "unauthorized", "auth"), "auth_error")
-        .when(m.contains("context") & any_("length", "exceed"), "context_length").otherwise("provider_error")
-    )
+    out = F.lit("provider_error")
+    for name, groups in reversed(classes):
+        out = F.when(reduce(and_, [_any(m, g) for g in groups]), F.lit(name)).otherwise(out)
+    return out
 
 
 def provider_error_class(message: Column) -> Column:
-    """The provider's own order: auth before rate limit before timeout, then context_length and bad_request."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(m.contains("401") | m.contains("unauthorized") | m.contains("invalid api key"), "auth_error").when(m.contains("429") | m.contains("rate limit"), "rate_limit").when(m.contains("timeout") | m.contains("timed out"), "timeout")
-        .when(m.contains("context_length") | m.contains("maximum context"), "context_length").when(m.contains("400"), "bad_request").otherwise("provider_error")
-    )
+    """The classes in the provider's own order."""
+    return error_class(message, PROVIDER_CLASSES)
