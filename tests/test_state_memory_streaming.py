@@ -168,3 +168,20 @@ def test_sources_and_sinks(spark, tmp_path):
     readers.export_memories(df, str(tmp_path / "m"))
     assert readers.import_memories(spark, str(tmp_path / "m"), df.schema).collect() == df.collect()
     assert readers.as_json(spark.createDataFrame([(1, None)], "a int, b string")).first()["json"] == '{"a":1,"b":null}'
+
+
+def test_shared_buckets_give_back_only_the_lane_request(spark):
+    kind = "lane string, epoch double, request_id string, key string, amount double"
+    rows = [("l", 0.0, "r0", "a", 1.0), ("l", 0.0, "r1", "a", 1.0), ("l", 0.0, "r2", "b", 9.0), ("l", 0.0, "r3", "c", 2.0), ("l", 0.0, "r4", "d", 1.0)]
+    out = state.shared_buckets(spark.createDataFrame(rows, kind), "lane", "key", (0.0, 4.0), (0.0, 5.0), (0.0, 1.0), (0.0, 5.0)).orderBy("request_id").collect()
+    assert [(r["passed"], r["denied_by"]) for r in out] == [(True, None), (False, "own"), (False, "tokens"), (True, None), (True, None)]
+
+
+def test_embedding_each_text_once(spark):
+    from tidewright.operators.embedding import embed_cached
+
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "i int, t string")
+    rows, cache = embed_cached(df, "i", "t", lambda texts: [[float(len(t))] for t in texts])
+    assert {r["id"]: r["embedding"] for r in rows.collect()} == {1: [1.0], 2: [2.0], 3: [1.0], 4: None} and cache.count() == 2
+    again, more = embed_cached(df, "i", "t", lambda texts: [[-1.0] for _ in texts], known=cache)
+    assert {r["id"]: r["embedding"] for r in again.collect()}[1] == [1.0] and more.count() == 2

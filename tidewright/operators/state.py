@@ -54,6 +54,40 @@ def token_bucket(events: DataFrame, key: str, rate: float, capacity: float, amou
     return fold(events.select(*columns), [key], ["epoch", "request_id"], lambda: (capacity, None), step, "allowed boolean, tokens double, retry_after double")
 
 
+def shared_buckets(events: DataFrame, lane: str, key: str, requests: tuple[float, float], tokens: tuple[float, float], own: tuple[float, float], own_tokens: tuple[float, float]) -> DataFrame:
+    """Requests (lane, epoch, request_id, key, amount) that must pass four buckets, each given as (rate, capacity).
+
+    In order: the lane's requests, the key's requests, the lane's tokens, the key's tokens (amounts over 1 only). A
+    denial by the key's requests gives nothing back; a denial by tokens gives the lane's request back, nothing else.
+    Says whether it passed, and which bucket denied it.
+    """
+    limits = {"requests": requests, "tokens": tokens, "own": own, "own_tokens": own_tokens}
+
+    def take(held: dict, name: tuple, need: float, now: float) -> bool:
+        rate, capacity = limits[name[0]]
+        left, last = held.get(name, (capacity, now))
+        left = min(capacity, left + max(0.0, now - last) * rate)
+        ok = left >= need
+        held[name] = (left - need if ok else left, now)
+        return ok
+
+    def step(held: dict, row):
+        k, need = getattr(row, key), float(row.amount)
+        if not take(held, ("requests",), 1.0, row.epoch):
+            return held, (False, "requests")
+        if not take(held, ("own", k), 1.0, row.epoch):
+            return held, (False, "own")
+        if need > 1:
+            for name in (("tokens",), ("own_tokens", k)):
+                if not take(held, name, need, row.epoch):
+                    left, last = held[("requests",)]
+                    held[("requests",)] = (min(requests[1], left + 1.0), last)
+                    return held, (False, name[0])
+        return held, (True, None)
+
+    return fold(events.select(lane, "epoch", "request_id", key, "amount"), [lane], ["epoch", "request_id"], dict, step, "passed boolean, denied_by string")
+
+
 def breaker(events: DataFrame, key: str, failures: int = 5, cooldown: float = 60.0, successes: int = 2) -> DataFrame:
     """Circuit breaker per key over (epoch, request_id, success): the state after each event and whether it was let through."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.functions import vectors as V
-from tidewright.operators import bm25, chunking, dense, fusion, memory, scoring, state, telemetry, tools
+from tidewright.operators import bm25, chunking, dense, embedding, fusion, memory, scoring, state, telemetry, tools
 from tidewright.session import table
 from tidewright.sources import readers
 
@@ -608,6 +608,16 @@ def error_class_provider(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", telemetry.provider_error_class(F.col("error_message")).alias("error_class")).distinct()
 
 
+@query(
+    f"""WITH c AS (SELECT DISTINCT request_id, start_time, {_M} AS m FROM request_metrics WHERE NOT success),
+k AS (SELECT CASE WHEN contains(m, 'timeout') OR contains(m, 'timed out') THEN 'timeout' WHEN contains(m, '429') OR contains(m, 'rate limit') THEN 'rate_limit' WHEN contains(m, '401') OR contains(m, 'unauthorized') OR contains(m, 'auth') THEN 'auth_error'
+WHEN contains(m, 'context') AND (contains(m, 'length') OR contains(m, 'exceed')) THEN 'context_length' ELSE 'provider_error' END AS reason FROM c) SELECT reason, count(*) AS n FROM k GROUP BY reason"""
+)
+def failure_reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = _log(spark, d).where("NOT success")
+    return rows.groupBy(telemetry.error_class(F.col("error_message")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_LOG} SELECT DISTINCT request_id, concat_ws(':', provider, model) AS target FROM log")
 def target_key(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select("request_id", F.concat_ws(":", "provider", "model").alias("target")).distinct()
@@ -639,6 +649,13 @@ def token_bucket_by_tokens(spark: SparkSession, d: str) -> DataFrame:
     return state.token_bucket(rows, "provider", 1.0, 2000.0, "amount")
 
 
+@query()
+def shared_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """A day and its requests are a lane; requests and tokens are limited for the lane and for each provider."""
+    rows = _log(spark, d).withColumn("day", F.to_date("start_time")).withColumn("amount", F.coalesce("total_tokens", F.lit(0)).cast("double"))
+    return state.shared_buckets(rows, "day", "provider", (1 / 120, 10.0), (2.0, 20000.0), (1 / 600, 3.0), (1.0, 5000.0))
+
+
 @query()
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return state.breaker(_log(spark, d), "provider", 3, 3600.0, 2)
@@ -684,6 +701,19 @@ def cache_ttl(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cache_entries", "entry_id", "created_at", "ttl").select("entry_id", state.expired(F.col("created_at"), F.col("ttl"), F.lit(AS_OF).cast("timestamp")).alias("expired"))
 
 
+@query(
+    f"""SELECT count(*) AS entries, count(*) FILTER (coalesce((epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(created_at)) / 1e6 > ttl, false)) AS expired FROM cache_entries"""
+)
+def expired_count(spark: SparkSession, d: str) -> DataFrame:
+    gone = state.expired(F.col("created_at"), F.col("ttl"), F.lit(AS_OF).cast("timestamp"))
+    return table(spark, d, "cache_entries", "created_at", "ttl").agg(F.count("*").alias("entries"), F.sum(F.when(gone, 1).otherwise(0)).cast("bigint").alias("expired"))
+
+
+@query("SELECT count(*) AS lookups, count(DISTINCT text) AS embedded, count(*) - count(DISTINCT text) AS hits, round((count(*) - count(DISTINCT text)) / greatest(count(DISTINCT text), 1), 6) AS hit_rate FROM text_chunks WHERE text IS NOT NULL")
+def embed_cache_stats(spark: SparkSession, d: str) -> DataFrame:
+    return embedding.cache_stats(table(spark, d, "text_chunks", "text"), "text")
+
+
 def _lookups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "request_metrics", "request_id", "provider", "model", "start_time", "tags").dropDuplicates(["request_id", "start_time"])
     key = F.concat_ws("|", F.coalesce("model", F.lit("")), F.element_at("tags", F.lit("tenant")))
@@ -838,6 +868,18 @@ def agent_totals(spark: SparkSession, d: str) -> DataFrame:
     return tools.step_totals(table(spark, d, "agent_runs", "run_id", "steps").where("size(steps) > 0")).distinct()
 
 
+@query(
+    """SELECT s.action AS tool, count(*) AS calls, CAST(sum(coalesce(s.tokens_used, 0)) AS BIGINT) AS tokens, count(*) FILTER (s.observation IS NOT NULL) AS observed
+FROM (SELECT run_id, unnest(any_value(steps)) AS s FROM agent_runs GROUP BY run_id) WHERE s.action IS NOT NULL GROUP BY ALL"""
+)
+def tool_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Calls per tool, from the steps of each run once."""
+    steps = table(spark, d, "agent_runs", "run_id", "steps").dropDuplicates(["run_id"]).select(F.explode("steps").alias("s")).where("s.action IS NOT NULL")
+    return steps.groupBy(F.col("s.action").alias("tool")).agg(
+        F.count("*").alias("calls"), F.sum(F.coalesce("s.tokens_used", F.lit(0))).alias("tokens"), F.sum(F.when(F.col("s.observation").isNotNull(), 1).otherwise(0)).cast("bigint").alias("observed")
+    )
+
+
 @query()
 def react_parse(spark: SparkSession, d: str) -> DataFrame:
     steps = table(spark, d, "agent_runs", "run_id", F.explode("steps").alias("s"))
