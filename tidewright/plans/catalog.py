@@ -561,11 +561,16 @@ def sliding_latency(spark: SparkSession, d: str) -> DataFrame:
     return out.select("provider", "request_id", "n", F.round(F.col("latency") + 1e-7, 4).alias("latency"), F.round(F.col("error_rate") + 1e-9, 6).alias("error_rate"), F.round("cost", 6).alias("cost"), "tokens", F.round("throughput", 6).alias("throughput"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SLIDE}, hot AS MATERIALIZED (SELECT epoch, request_id, latency FROM slide WHERE latency > 3000.0),
+fired AS ((SELECT epoch, request_id, latency FROM hot ORDER BY epoch, request_id LIMIT 1)
+  UNION ALL SELECT n.epoch, n.request_id, n.latency FROM (SELECT h.*, row_number() OVER (ORDER BY h.epoch, h.request_id) AS i FROM hot h, fired f WHERE h.epoch - f.epoch >= 3600.0) n WHERE n.i = 1)
+SELECT 'slow_hour' AS rule, request_id, round(latency + 1e-7, 4) AS value FROM fired"""
+)
 def alerts(spark: SparkSession, d: str) -> DataFrame:
     """A rule's cooldown holds across all providers."""
     out = telemetry.sliding(_log(spark, d), ["provider"], 3600.0)
-    return telemetry.alerts(out, "slow_hour", "latency", 3000.0, 3600.0)
+    return telemetry.alerts(out, "slow_hour", "latency", 3000.0, 3600.0).select("rule", "request_id", F.round(F.col("value") + 1e-7, 4).alias("value"))
 
 
 @query(
@@ -638,15 +643,28 @@ def metrics_report(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ state, caches, memory
 
 
-@query()
+def _bucket_sql(rate: str, capacity: float, need: str) -> str:
+    """The fold as a recursion: one step takes every key's next event."""
+    return f"""WITH RECURSIVE {_LOG}, o AS MATERIALIZED (SELECT provider, epoch, request_id, {need}::DOUBLE AS need, row_number() OVER (PARTITION BY provider ORDER BY epoch, request_id) AS i FROM log),
+b AS (SELECT provider, i, epoch, request_id, need <= {capacity} AS allowed, CASE WHEN need <= {capacity} THEN {capacity} - need ELSE {capacity} END::DOUBLE AS tokens, need FROM o WHERE i = 1
+  UNION ALL SELECT provider, i, epoch, request_id, t >= need, CASE WHEN t >= need THEN t - need ELSE t END, need
+  FROM (SELECT o.*, least({capacity}::DOUBLE, b.tokens + greatest(0, o.epoch - b.epoch) * {rate}) AS t FROM b JOIN o ON o.provider = b.provider AND o.i = b.i + 1))
+SELECT provider, request_id, allowed, round(tokens + 1e-9, 5) AS tokens, round(CASE WHEN allowed THEN 0 ELSE (need - tokens) / {rate} END + 1e-7, 3) AS retry_after FROM b"""
+
+
+def _bucket_rows(df: DataFrame) -> DataFrame:
+    return df.select("provider", "request_id", "allowed", F.round(F.col("tokens") + 1e-9, 5).alias("tokens"), F.round(F.col("retry_after") + 1e-7, 3).alias("retry_after"))
+
+
+@query(_bucket_sql("(1.0::DOUBLE / 600)", 5.0, "1"))
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return state.token_bucket(_log(spark, d), "provider", 1 / 600, 5.0)
+    return _bucket_rows(state.token_bucket(_log(spark, d), "provider", 1 / 600, 5.0))
 
 
-@query()
+@query(_bucket_sql("1.0::DOUBLE", 2000.0, "coalesce(total_tokens, 0)"))
 def token_bucket_by_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = _log(spark, d).withColumn("amount", F.coalesce("total_tokens", F.lit(0)).cast("double"))
-    return state.token_bucket(rows, "provider", 1.0, 2000.0, "amount")
+    return _bucket_rows(state.token_bucket(rows, "provider", 1.0, 2000.0, "amount"))
 
 
 @query()
@@ -656,9 +674,20 @@ def shared_buckets(spark: SparkSession, d: str) -> DataFrame:
     return state.shared_buckets(rows, "day", "provider", (1 / 120, 10.0), (2.0, 20000.0), (1 / 600, 3.0), (1.0, 5000.0))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LOG}, o AS MATERIALIZED (SELECT provider, epoch, request_id, success, row_number() OVER (PARTITION BY provider ORDER BY epoch, request_id) AS i FROM log),
+b AS (SELECT provider, i, request_id, true AS let_through, 'closed' AS state, CASE WHEN success THEN 0 ELSE 1 END AS bad, CASE WHEN success THEN 1 ELSE 0 END AS good, 0.0::DOUBLE AS since FROM o WHERE i = 1
+  UNION ALL SELECT provider, i, request_id, name <> 'open',
+    CASE WHEN name = 'open' THEN 'open' WHEN success AND name = 'half_open' AND good + 1 >= 2 THEN 'closed' WHEN NOT success AND (name = 'half_open' OR bad + 1 >= 3) THEN 'open' ELSE name END,
+    CASE WHEN name = 'open' THEN bad WHEN success THEN 0 WHEN name = 'half_open' OR bad + 1 >= 3 THEN 0 ELSE bad + 1 END,
+    CASE WHEN name = 'open' OR NOT success THEN good WHEN name = 'half_open' AND good + 1 >= 2 THEN 0 ELSE good + 1 END,
+    CASE WHEN name <> 'open' AND NOT success AND (name = 'half_open' OR bad + 1 >= 3) THEN epoch ELSE since END
+  FROM (SELECT o.*, b.bad, b.since, CASE WHEN b.state = 'open' AND o.epoch - b.since >= 3600 THEN 'half_open' ELSE b.state END AS name, CASE WHEN b.state = 'open' AND o.epoch - b.since >= 3600 THEN 0 ELSE b.good END AS good
+    FROM b JOIN o ON o.provider = b.provider AND o.i = b.i + 1))
+SELECT provider, request_id, let_through, state FROM b"""
+)
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
-    return state.breaker(_log(spark, d), "provider", 3, 3600.0, 2)
+    return state.breaker(_log(spark, d), "provider", 3, 3600.0, 2).select("provider", "request_id", "let_through", "state")
 
 
 def _chat_keys(spark: SparkSession, d: str, how: str) -> DataFrame:
