@@ -7,7 +7,49 @@ SELECT query_id, chunk_id, score, rank FROM (
         WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY query_id, chunk_id)
 ) WHERE rank <= 10"""
 
+
+
+def _near(source: str, key: str, text: str) -> str:
+    return rf"""
+SELECT '{source}' AS source, id_a, id_b FROM (
+  WITH w AS (SELECT {key} AS id, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+') AS w FROM {source} WHERE {text} IS NOT NULL),
+  t AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+  n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+  c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+  SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c)"""
+
+
+def _nearest(source: str, rows: str, by: str) -> str:
+    return f"""
+SELECT '{source}' AS source, vec_id, neighbor_id FROM (
+  WITH v AS (SELECT part, id, CAST(vec AS DOUBLE[]) AS v FROM ({rows}) WHERE vec IS NOT NULL AND len(vec) = {by}
+    AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+  u AS (SELECT part, id, v, sqrt(list_inner_product(v, v)) AS n FROM v),
+  r AS (SELECT a.id AS vec_id, b.id AS neighbor_id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.id) AS i
+    FROM u a JOIN u b ON a.part = b.part AND a.id <> b.id)
+  SELECT vec_id, neighbor_id FROM r WHERE i <= 5)"""
+
+
+_CALLS = "SELECT model AS part, CASE WHEN model = (SELECT model FROM embed_results WHERE dimensions = 96 LIMIT 1) THEN 96 ELSE 64 END AS dim, unnest(vec_ids) AS id, unnest(embeddings) AS vec FROM embed_results"
+
+_RANK = "list_sort(list(value))[CAST(ceil({q}::DOUBLE * (count(*) - 1) + 0.5) AS BIGINT)] AS {name}"
+# Nearest-rank percentiles: what summaries answer, with half a rank of error, while no group has more values than a
+# summary keeps (2,000), as at the size that the twins are compared at.
+_PERCENTILES = f"""
+WITH once AS (SELECT DISTINCT request_id, lower(trim(provider)) AS provider, model, start_time, latency_ms, cost FROM request_metrics),
+x AS (SELECT provider, model, 'latency_ms' AS metric, latency_ms AS value FROM once WHERE latency_ms >= 0 AND NOT isnan(latency_ms) UNION ALL SELECT provider, model, 'cost', cost FROM once WHERE cost IS NOT NULL AND NOT isnan(cost))
+SELECT provider, model, metric, count(*) AS n, 0.5::DOUBLE AS rank_error, {", ".join(_RANK.format(q=q, name=name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))} FROM x GROUP BY ALL"""
+
 ORACLE = {
+    "p5_percentiles": _PERCENTILES,
+    "p1_found": _near("text_chunks", "chunk_id", "text") + " UNION ALL " + _near("cache_entries", "entry_id", "key"),
+    "p3_found": " UNION ALL ".join(
+        [
+            _nearest("text_chunks", "SELECT 0 AS part, chunk_id AS id, embedding AS vec FROM text_chunks", "64"),
+            _nearest("memory_entries", "SELECT 0 AS part, memory_id AS id, embedding AS vec FROM memory_entries", "64"),
+            _nearest("embed_results", _CALLS, "dim"),
+        ]
+    ),
     "p4_found": """
 SELECT chunk_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}。！？]'), lambda x: length(x))) > 1200
   THEN 'forced' ELSE 'natural' END AS cut
