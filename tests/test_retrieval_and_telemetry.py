@@ -24,6 +24,8 @@ def test_bm25_of_four_texts(spark):
                     tf = t.count(w)
                     s += math.log(1 + (4 - df_ + 0.5) / (df_ + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))
             assert got.get((i, j), 0.0) == pytest.approx(s)
+    stored = bm25.search(bm25.postings(df, "doc_id", "text"), bm25.corpus_stats(df, "doc_id", "text"), q)
+    assert {(r["query_id"], r["doc_id"]): pytest.approx(r["score"]) for r in stored.collect()} == got
     assert bm25.top(bm25.score(df.where("false"), "doc_id", "text", q), 3).count() == 0
 
 

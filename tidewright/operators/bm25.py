@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import search_tokens
+from tidewright.session import durable, few
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, term, tf and doc_len of every term of every text, without a shuffle: each text counts its own terms."""
+    """doc_id, term, tf and doc_len of every term of every text: the index to store when queries come more than once."""
     tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(text_col).alias("t"))
-    counted = tokens.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+    counted = tokens.select("doc_id", F.size("t").alias("doc_len"), F.explode_outer("t").alias("term")).where("term IS NOT NULL")
     return counted.groupBy("doc_id", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
@@ -20,24 +21,49 @@ def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.size(search_tokens(text_col)).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score for every text that shares a term with the query (query_id, query).
+def _asked(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """query_id, term and how often the query has it; and whether these rows are few enough to be broadcast."""
+    terms = queries.select("query_id", F.explode_outer(search_tokens("query")).alias("term")).where("term IS NOT NULL")
+    asked = durable(terms.groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    return asked, few(asked)
 
-    A term that the query repeats counts again. Only the queries' terms leave the scan of the texts: postings are
-    built for terms in the (distinct) query terms, so the shuffle carries matches, not the corpus.
-    """
-    asked = queries.select("query_id", F.explode(search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(text_col).alias("t"))
-    rows = tokens.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
-    tf = rows.join(terms, "term", "left_semi").groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+
+def _rank(tf: DataFrame, stats: DataFrame, asked: DataFrame, is_few: bool, k1: float, b: float) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, id_col, text_col)
     idf = df.crossJoin(F.broadcast(stats)).select(  # one row of statistics
         "term", F.greatest("avgdl", F.lit(1.0)).alias("avgdl"), F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
+    weights = asked.join(idf, "term")  # as many rows as asked
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    return tf.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
+    return tf.join(F.broadcast(weights) if is_few else weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
+
+
+def _only(rows: DataFrame, asked: DataFrame, is_few: bool) -> DataFrame:
+    terms = asked.select("term").distinct()
+    return rows.join(F.broadcast(terms) if is_few else terms, "term", "left_semi")
+
+
+def search(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score from a stored index (:func:`postings`, best bucketed by term) and its statistics.
+
+    A term that the query repeats counts again. Only postings of asked terms leave the scan.
+    """
+    asked, is_few = _asked(queries)
+    return _rank(_only(index, asked, is_few).select("doc_id", "doc_len", "term", "tf"), stats, asked, is_few, k1, b)
+
+
+def score(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The same straight from texts, for one batch of queries (query_id, query).
+
+    Words are matched with the asked terms where the texts are read, so the shuffle carries matches, not the corpus;
+    the matches are kept, as document frequencies and scores both need them.
+    """
+    asked, is_few = _asked(queries)
+    tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(text_col).alias("t"))
+    # explode_outer: for explode, the optimizer would filter empty lists first and so split every text twice
+    rows = tokens.select("doc_id", F.size("t").alias("doc_len"), F.explode_outer("t").alias("term"))
+    tf = durable(_only(rows, asked, is_few).groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf")))
+    return _rank(tf, corpus_stats(docs, id_col, text_col), asked, is_few, k1, b)
 
 
 def top(scored: DataFrame, k: int, least: float | None = None) -> DataFrame:

@@ -44,6 +44,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int = 1_000_000) -> bool:
+    """Whether a side has at most so many rows, counted: then it may be broadcast; a larger one is left to the planner."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def spread(df: DataFrame, keys: list[Column | str] | None = None, least: int = 1) -> DataFrame:
     """Repartition to the session's shuffle width, for stages whose CPU work is large next to their bytes."""
     n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
