@@ -39,7 +39,7 @@ def test_pairs_match_brute_force(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "k bigint, body string, same string").repartition(3)
     want = _truth(rows, 3, 0.5)
     for limit in (20_000, 64):  # with a small limit hot shards are cut into blocks
-        members, pairs = neardup.similar(df, "k", "body", k=3, least=0.5, bands=24, rows=3, radius=46, shard_limit=limit)
+        members, pairs = neardup.similar(df, "k", "body", k=3, least=0.5, bands=32, rows=3, radius=70, shard_limit=limit)
         got = {tuple(r) for r in neardup.expand(members, pairs).collect()}
         assert not got - want and len(want - got) <= 0.02 * len(want)
 
@@ -47,7 +47,7 @@ def test_pairs_match_brute_force(spark):
 def test_groups_are_linear_and_connected(spark):
     rows = _corpus(2, 30) + [(1000 + i, "one copy of a rather long and equal text") for i in range(300)]
     df = spark.createDataFrame(rows, "k bigint, body string")
-    members, pairs = neardup.similar(df, "k", "body", k=3, least=0.5, bands=24, rows=3, radius=46)
+    members, pairs = neardup.similar(df, "k", "body", k=3, least=0.5, bands=32, rows=3, radius=70)
     out = neardup.groups(members, pairs).collect()
     assert len({r["group"] for r in out if r["id"] >= 1000}) == 1 and sum(r["id"] >= 1000 for r in out) == 300
     group = {r["id"]: r["group"] for r in out}
@@ -59,9 +59,9 @@ def test_hot_shards_lose_nothing_in_blocks(spark):
     df = spark.createDataFrame(rows, "k bigint, body string")
     prepared = neardup._prepare(df, "k", "body", 3, 4, 1)
     shards = neardup._shards(prepared, 4)
-    plain = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, []), 60).collect()}
+    plain = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, []), 90).collect()}
     keys = [r["key"] for r in shards.groupBy("key").count().where("count > 50").collect()]
-    cut = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, [(k, 4) for k in keys]), 60).collect()}
+    cut = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, [(k, 4) for k in keys]), 90).collect()}
     assert keys and cut == plain
 
 
@@ -131,7 +131,7 @@ def test_additive_codes_come_close():
 
 def test_many_copies_stand_for_themselves_by_one_row(spark):
     rows = [(i, "one copy of a rather long and equal text") for i in range(40)] + [(50, "one copy of a rather long and equal word"), (51, "one copy of a rather long and equal word")]
-    members, pairs = neardup.similar(spark.createDataFrame(rows, "k bigint, body string"), "k", "body", k=3, least=0.5, bands=24, rows=3, radius=46)
+    members, pairs = neardup.similar(spark.createDataFrame(rows, "k bigint, body string"), "k", "body", k=3, least=0.5, bands=32, rows=3, radius=70)
     full = {tuple(r) for r in neardup.expand(members, pairs).collect()}
     assert len(full) == 40 * 39 // 2 + 80 + 1
     assert {tuple(r) for r in neardup.expand(members, pairs, 10).collect()} == {(0, i) for i in range(1, 40)} | {(0, 50), (0, 51), (50, 51)}

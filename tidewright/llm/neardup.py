@@ -1,7 +1,7 @@
 """Near-duplicate texts after small edits: BK-trees over fingerprints, in shards, then an exact check.
 
 A text is the set of its word k-tuples. Texts with the same set form one class and are searched once. A class
-has a fingerprint of 128 bits (the sign of each bit's vote over the set), whose Hamming distance follows the
+has a fingerprint of 192 bits (the sign of each bit's vote over the set), whose Hamming distance follows the
 angle between two sets, and a key in each of ``bands`` shards (the minima of ``rows`` hash functions). Every shard
 becomes a BK-tree, children keyed by their integer Hamming distance to the parent; each of its classes is looked
 up in the tree by following only the edges within the radius. All trees of a task grow and are searched together,
@@ -26,6 +26,9 @@ from tidewright.session import durable
 U = np.uint64
 WORD_SEED = 0x9E3779B97F4A7C15
 BITMAP_BITS = 1 << 23
+#: Columns of the fingerprint, 64 bits each, and the seeds of their votes.
+PRINTS = ("f1", "f2", "f3")
+VOTE_SEEDS = (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,12 +80,12 @@ def tuples(texts: list[str | None], k: int = 3) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(owner: np.ndarray, h: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text that has tuples: its index, the hash of its set, two fingerprint words, and its key in each band."""
+    """Per text that has tuples: its index, the hash of its set, the fingerprint's words, and its key in each band."""
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     texts, size = owner[start], np.diff(np.r_[start, len(owner)])
     same = mix(np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), start) + size.astype(U))
     words = []
-    for seed in (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93):
+    for seed in VOTE_SEEDS:
         bits = np.unpackbits((h * U(seed) ^ (h >> U(29))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
         votes = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
         words.append(np.packbits(votes * 2 > size[:, None], axis=1).view(U).ravel())
@@ -145,8 +148,11 @@ class Forest:
                 node = self.child[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
+_PRINTS = ", ".join(f"{c} bigint" for c in PRINTS)
+
+
 def _prepare(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """id, same (hash of the set), f1, f2 (fingerprint), keys (of the bands; null if the class came before in this partition)."""
+    """id, same (hash of the set), the fingerprint, keys (of the bands; null if the class came before in this partition)."""
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,24 +170,24 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows
                     seen.add(s)
                 flat = pa.array([r.tobytes() if f else None for r, f in zip(keys, fresh)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(texts)), pa.array(same.view(np.int64)), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), flat], ["id", "same", "f1", "f2", "keys"]
+                    [part.column(0).take(pa.array(texts)), pa.array(same.view(np.int64)), *[pa.array(np.ascontiguousarray(p).view(np.int64)) for p in prints.T], flat], ["id", "same", *PRINTS, "keys"]
                 )
 
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, same bigint, f1 bigint, f2 bigint, keys binary")
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, same bigint, {_PRINTS}, keys binary")
 
 
 def _shards(prepared: DataFrame, bands: int) -> DataFrame:
-    """One row per class and band: key, same, f1, f2."""
+    """One row per class and band: key, same and the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if n:
-                keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+                keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
                 again = np.repeat(np.arange(n), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[batch.column(i).take(pa.array(again)) for i in range(3)]], ["key", "same", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[c.take(pa.array(again)) for c in batch.columns[1:]]], ["key", "same", *PRINTS])
 
-    return prepared.where("keys IS NOT NULL").select("same", "f1", "f2", "keys").mapInArrow(run, "key bigint, same bigint, f1 bigint, f2 bigint")
+    return prepared.where("keys IS NOT NULL").select("keys", "same", *PRINTS).mapInArrow(run, f"key bigint, same bigint, {_PRINTS}")
 
 
 def _hot(shards: DataFrame, limit: int, sample: int = 64) -> list[tuple[int, int]]:
@@ -206,7 +212,7 @@ def _blocks(shards: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
     copies = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     each = joined.withColumn("own", own).withColumn("other", F.explode(copies))
     pair = F.when(F.col("blocks").isNull(), 0).otherwise(1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    return each.select("key", "same", "f1", "f2", pair.cast("int").alias("side"), F.coalesce("own", F.lit(0)).alias("block"))
+    return each.select("key", "same", *PRINTS, pair.cast("int").alias("side"), F.coalesce("own", F.lit(0)).alias("block"))
 
 
 def _candidates(shards: DataFrame, radius: int, chunk: int = 1 << 19) -> DataFrame:
@@ -214,15 +220,15 @@ def _candidates(shards: DataFrame, radius: int, chunk: int = 1 << 19) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, same, f1, f2, side = x
+            key, side, same, *words = x
             shard = mix(key.view(U) + mix(side.astype(U)))
             order = np.lexsort((same, shard))
-            shard, same, f1, f2 = shard[order], same[order], f1[order], f2[order]
+            shard, same = shard[order], same[order]
             new = np.r_[True, (shard[1:] != shard[:-1]) | (same[1:] != same[:-1])]  # a class that several partitions sent
-            shard, same, f1, f2 = shard[new], same[new], f1[new], f2[new]
+            order, shard, same = order[new], shard[new], same[new]
             twice = np.r_[False, shard[1:] == shard[:-1]]
             twice = twice | np.r_[twice[1:], False]
-            shard, same, prints = shard[twice], same[twice], np.stack([f1[twice], f2[twice]], 1).view(U)
+            shard, same, prints = shard[twice], same[twice], np.stack([w[order[twice]] for w in words], 1).view(U)
             if not len(shard):
                 return
             pairs = [np.stack([np.minimum(same[q], same[r]), np.maximum(same[q], same[r])], 1) for q, r in Forest(shard, prints).search(radius)]
@@ -233,7 +239,7 @@ def _candidates(shards: DataFrame, radius: int, chunk: int = 1 << 19) -> DataFra
 
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(5)])
+            held.append([c.to_numpy() for c in batch.columns])
             if sum(len(x[0]) for x in held) >= chunk:  # rows come sorted by key: all but the open shard can go
                 whole = [np.concatenate(c) for c in zip(*held)]
                 same_key = whole[0] == whole[0][-1]
@@ -246,7 +252,7 @@ def _candidates(shards: DataFrame, radius: int, chunk: int = 1 << 19) -> DataFra
         if held:
             yield from found([np.concatenate(c) for c in zip(*held)])
 
-    rows = shards.select("key", "same", "f1", "f2", "side").repartition("key", "side").sortWithinPartitions("key")
+    rows = shards.select("key", "side", "same", *PRINTS).repartition("key", "side").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -320,7 +326,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, radius: int = 40, shard_limit: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, radius: int = 55, shard_limit: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal tuple sets and the pairs of classes that are at least ``least`` similar.
 
     Returns ``members`` (id, same) and ``pairs`` (a, b, similarity; a and b are values of ``same``). Rows with a

@@ -12,7 +12,7 @@ PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 #: TESTDATA.md asks for word triples and half of them in common.
-NEAR = {"k": 3, "least": 0.5, "bands": 24, "rows": 3, "radius": 46}
+NEAR = {"k": 3, "least": 0.5, "bands": 32, "rows": 3, "radius": 70}
 TEXTS = {"text_chunks": ("chunk_id", "text"), "cache_entries": ("entry_id", "key")}
 
 
