@@ -77,6 +77,7 @@ class Patterns:
     def __init__(self, given: frozenset[str]):
         c = lambda p, f=0: regex.compile(p, f | regex.V1)
         at, dot = r"(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?)", r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)"
+        self.at = c(r"@|[(\[]\s?at\s?[)\]]", regex.I)
         self.email = c(rf"(?<![\p{{L}}\p{{N}}._%+-])([\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}._%+'-]*[\p{{L}}\p{{N}}_])?){at}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])?(?:{dot}[\p{{L}}\p{{N}}-]+)*{dot}\p{{L}}{{2,}}", regex.I)
         ids = (
             r"\p{Lu}{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?\p{Lu}", r"\p{Lu}{2}\s?\d{7,8}", r"\p{Lu}-?\d{7}-?\p{Lu}?", r"\d{8}[- ]?\p{Lu}", r"\d{3}\.\d{3}\.\d{3}-\d{2}",
@@ -217,8 +218,11 @@ class _Words:
         return not before.strip(" ") or before[-1] == "\n" or before in (". ", "! ", "? ")
 
 
-def find(p: Patterns, text: str, family: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """Items as (start, end, type) in order, none overlapping; earlier types win."""
+def find(p: Patterns, text: str, family: frozenset[str] = frozenset(), names_only: bool = False) -> list[tuple[int, int, str]]:
+    """Items as (start, end, type) in order, none overlapping; earlier types win.
+
+    ``names_only`` looks for names and for addresses, whose words may look like titles.
+    """
     taken = bytearray(len(text) + 1)
     items: list[tuple[int, int, str]] = []
 
@@ -227,13 +231,14 @@ def find(p: Patterns, text: str, family: frozenset[str] = frozenset()) -> list[t
             taken[a:b] = b"\1" * (b - a)
             items.append((a, b, kind))
 
-    if "@" in text or "at" in text.lower():
+    if not names_only and p.at.search(text):
         for m in p.email.finditer(text):
             add(m.start(1), m.end(), "email")
     if any(map(str.isdigit, text)):
         for rx in p.address:
             for m in rx.finditer(text):
                 add(m.start(), m.end(), "address")
+    if not names_only and any(map(str.isdigit, text)):
         for m in p.phone_cued.finditer(text):
             if 7 <= sum(map(str.isdigit, m[1])) <= 15:
                 add(m.start(1), m.end(1), "phone")
@@ -292,7 +297,7 @@ def _given(names: DataFrame, column: str, bound: int) -> frozenset[str]:
 FOUND = "id {kind}, pii_type string, start_char bigint, end_char bigint, value string, title string, bounded boolean"
 
 
-def detect(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str = "given_name", family: frozenset[str] = frozenset(), bound: int = 100_000) -> DataFrame:
+def detect(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str = "given_name", family: frozenset[str] = frozenset(), bound: int = 100_000, names_only: bool = False) -> DataFrame:
     """One row per item: id_col, pii_type, start_char, end_char (in code points), value, title (the word before a name), bounded.
 
     ``bounded``: no word follows directly, so the item's end is sure.
@@ -307,7 +312,7 @@ def detect(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col
         for pdf in parts:
             out = []
             for key, text in zip(pdf["id"], pdf["text"]):
-                for a, b, kind in find(p, text, family):
+                for a, b, kind in find(p, text, family, names_only):
                     before = text[max(0, a - 12) : a].split() if kind == "name" else []
                     out.append((key, kind, a, b, text[a:b], before[-1].strip(".").lower() if before else "", not text[b : b + 1].strip(".,;:!?)\r\n")))
             yield pd.DataFrame(out, columns=["id", "pii_type", "start_char", "end_char", "value", "title", "bounded"])
@@ -331,7 +336,7 @@ def family_names(found: DataFrame, least: int = 3, bound: int = 200_000) -> froz
 
 def items(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str = "given_name") -> DataFrame:
     """Detection in two passes: names that cues give away teach the family names by which others are known."""
-    first = detect(df, id_col, text_col, names, name_col)
+    first = detect(df, id_col, text_col, names, name_col, names_only=True)
     return detect(df, id_col, text_col, names, name_col, family_names(first))
 
 
