@@ -64,6 +64,8 @@ DANGLING = frozenset(
 )
 LABELS = r"(?:q|a|question|prompt|user|human|input|task|query|request|frage|aufgabe|anfrage|nutzer|benutzer|utilisateur|demande|tâche|pregunta|tarea|usuario|consulta|pergunta|tarefa|usuário|pedido|вопрос|задача|質問|you asked|you said|your question|repeat|answer|antwort|réponse|respuesta|resposta)"
 
+_KANA, _HAN = regex.compile(r"[\p{Hiragana}\p{Katakana}]"), regex.compile(r"\p{Han}")
+_SCRIPTS = {k: regex.compile(rf"\p{{{v}}}") for k, v in {"ru": "Cyrillic", "ar": "Arabic", "he": "Hebrew", "ko": "Hangul", "el": "Greek", "hi": "Devanagari"}.items()}
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 _ASKED = {k: regex.compile(rf"(?<!\p{{L}})(?:{v})(?!\p{{L}})", regex.I) for k, v in LANGUAGE_NAMES.items()}
@@ -83,16 +85,16 @@ _SHORT = regex.compile(r"^(?:[\p{Sc}+-]?\s?\d[\d\s.,:/%-]*\s*[\p{L}%°\p{Sc}]{0,
 def language(text: str) -> str | None:
     """The language a text is most clearly in: by script, else by function words; None if it can't be told."""
     text = _MARKUP.sub(" ", _CODE.sub(" ", text))
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
+    if not text:
         return None
-    kana = sum("぀" <= c <= "ヿ" for c in letters)
-    han = sum("一" <= c <= "鿿" for c in letters)
-    if (kana + han) * 3 > len(letters):
-        return "ja" if kana else "zh"
-    for name, low, high in (("ru", "Ѐ", "ӿ"), ("ar", "؀", "ۿ"), ("he", "֐", "׿"), ("ko", "가", "힯"), ("el", "Ͱ", "Ͽ"), ("hi", "ऀ", "ॿ")):
-        if sum(low <= c <= high for c in letters) * 2 > len(letters):
-            return name
+    if max(text) > "\u036f":  # letters of another script than Latin, or mere signs
+        letters = sum(map(str.isalpha, text))
+        kana, han = len(_KANA.findall(text)), len(_HAN.findall(text))
+        if letters and (kana + han) * 3 > letters:
+            return "ja" if kana else "zh"
+        for name, script in _SCRIPTS.items():
+            if len(script.findall(text)) * 2 > letters > 0:
+                return name
     words = [w.lower().replace("’", "'") for w in _WORD.findall(text)]
     words = [x for w in words for x in (w.split("'") if "'" in w else (w,))]
     score = {k: sum(w in s for w in words) for k, s in _SETS.items()}
