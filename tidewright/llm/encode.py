@@ -3,7 +3,7 @@
 The texts are split into words in the JVM by the vocabulary's own pattern; BPE never crosses a word, so each
 distinct word is encoded once, on the executors, and the ids go back to every place of the word by a join.
 While the table's measured size is within ``table_bound`` bytes it is broadcast and joined by a vectorised
-lookup, and texts are never shuffled; beyond it, places are joined with the table in a shuffle by word and put
+lookup, and texts move only once, to spread them evenly; beyond it, places are joined by a shuffle by word and put
 together again by text.
 """
 
