@@ -32,6 +32,24 @@ def test_defects(prompt, answer, want):
     assert pairs.defects(prompt, answer) == want
 
 
+@pytest.mark.parametrize(
+    "prompt, answer, want",
+    [
+        ("Why is it slow?", "I'm sorry, but I can't help with th", ["refusal", "truncated"]),
+        ("Why is it slow?", "```\nWhy is it slow?", ["copy", "truncated"]),
+        ("Why is it slow?", "Why is it slow (", ["copy", "truncated"]),
+        ("Why is the router so slow in the morning?", "Leider kann ich dir bei der Frage nicht helfen (das ist nicht", ["refusal", "truncated", "other_language"]),
+        ("Why is it slow?", "It waits for a lock (see the log of the router.", ["truncated"]),
+        ("Why is it slow?", "The log says “lock held by the router. It waits.", ["truncated"]),
+        ("Why is it slow?", "Das Log sagt „Sperre“ und «Router», see [0, 1) and \"it waits\" :( on a 5\" disk.", []),
+        ("Why is it slow?", "“It waits.\n\n“It waits again.” That is (a) the lock, b) the `(` sign.", []),
+        ("Why is it slow?", "```", ["empty", "truncated"]),
+    ],
+)
+def test_every_rule_is_asked_and_open_delimiters_come_before_the_last_mark(prompt, answer, want):
+    assert pairs.defects(prompt, answer) == want
+
+
 def test_judge_counts_copies_once_and_takes_empty_tables(spark):
     rows = [("s", 1, "q", None, "x"), ("s", 1, "q", None, "x"), ("s", 2, "q", GOOD, "x")]
     df = spark.createDataFrame(rows, "source string, pair_id bigint, prompt string, answer string, defect string")

@@ -82,6 +82,14 @@ _END = regex.compile(r"[.!?。！？…][\s\"'”’»)\]*_`›]*$")
 _SHORT = regex.compile(r"^(?:[\p{Sc}+-]?\s?\d[\d\s.,:/%-]*\s*[\p{L}%°\p{Sc}]{0,12}|yes|no|ja|nein|oui|non|sí|si|sim|não|да|нет|はい|いいえ|true|false|none|ok|okay|maybe)$", regex.I)
 
 
+_OPENERS = frozenset("([{（［｛「『【“„«‚")
+#: Which marks a mark closes; German closes by the mark that English opens with.
+_CLOSES = {")": "(", "]": "[", "}": "{", "）": "（", "］": "［", "｝": "｛", "」": "「", "』": "『", "】": "【", "”": "“„", "“": "„", '"': '"„“', "»": "«»", "«": "»", "’": "‘‚", "‘": "‚"}
+_DELIMITER = regex.compile("[" + regex.escape("".join(sorted({*_OPENERS, *_CLOSES}))) + "]")
+# inline code, escaped signs, faces, half-open intervals and inches open nothing
+_NO_OPENER = regex.compile(r"`[^`\n]*`|\\.|(?<!\w)[:;=]-?[(\[{]|[\[(][^\[\]()\n]{1,20}[,;][^\[\]()\n]{1,20}[\])]|(?<=\d)\"(?=\s|[x×.,;)]|$)")
+
+
 def language(text: str) -> str | None:
     """The language a text is most clearly in: by script, else by function words; None if it can't be told."""
     text = _MARKUP.sub(" ", _CODE.sub(" ", text))
@@ -127,10 +135,30 @@ def is_refusal(answer: str) -> bool:
     return any(refused) and all(r or _CLOSER.search(p) for r, p in zip(refused, parts))
 
 
+def is_open(answer: str) -> bool:
+    """Ends inside a code fence, a bracket or a quotation."""
+    if answer.count("```") % 2:
+        return True
+    text = _NO_OPENER.sub(" ", _CODE.sub(" ", answer))
+    held: list[str] = []
+    for m in _DELIMITER.finditer(text):
+        c, at = m[0], m.start()
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        starts = not before or before.isspace() or before in "([{"
+        own = next((i for i in range(len(held) - 1, -1, -1) if held[i] in _CLOSES.get(c, "")), -1)
+        if own >= 0 and not (c in "\"“" and held[own] == c and before in ("", "\n")):  # an opening mark is repeated at each paragraph of a quotation
+            del held[own:]
+        elif c in held and c in "\"“«‘":
+            continue
+        elif c in _OPENERS or c in "\"»‘" and starts and not (after.isspace() or c == "‘" and not after.isalpha()):
+            held.append(c)
+    return bool(held)
+
+
 def is_truncated(answer: str) -> bool:
-    """Breaks off inside code, a bracket or a sentence; short replies, lists, links and closed code are complete."""
+    """Breaks off inside code, a bracket, a quotation or a sentence; short replies, lists, links and closed code are complete."""
     text = answer.strip().strip("​﻿").strip()
-    if text.count("```") % 2:
+    if is_open(text):
         return True
     if text.endswith("```"):
         return False
@@ -155,6 +183,13 @@ def is_truncated(answer: str) -> bool:
     return True
 
 
+def breaks_off(answer: str) -> bool:
+    """Shows it by more than a missing last mark: an open delimiter, or a last word or sign that something must follow."""
+    words = _WORD.findall(answer)
+    last = answer.strip()[-1:]
+    return is_open(answer) or last in ",;([{" or last.isalpha() and words[-1].lower() in DANGLING
+
+
 def is_other_language(prompt: str, answer: str) -> bool:
     """In a language that is neither the prompt's nor one that the prompt asks for."""
     got, own = language(answer), language(prompt)
@@ -165,19 +200,21 @@ def is_other_language(prompt: str, answer: str) -> bool:
 
 
 def defects(prompt: str | None, answer: str | None) -> list[str]:
-    """All defect types in their order; what is only empty, a copy or a refusal isn't judged further for its end."""
+    """All defect types in their order; every rule is asked, whatever the others say.
+
+    What is empty or a copy may lack its last mark, so there only an open end tells that it breaks off.
+    """
     if answer is None or not any(c.isalnum() for c in answer):
-        return ["empty"]
-    prompt, found = prompt or "", []
-    if is_copy(prompt, answer):
-        found.append("copy")
-    elif is_refusal(answer):
-        found.append("refusal")
-    elif is_truncated(answer):
-        found.append("truncated")
-    if "copy" not in found and is_other_language(prompt, answer):
-        found.append("other_language")
-    return found
+        return ["empty", "truncated"] if answer and is_open(answer) else ["empty"]
+    prompt = prompt or ""
+    copy = is_copy(prompt, answer)
+    fired = {
+        "copy": copy,
+        "refusal": is_refusal(answer),
+        "truncated": breaks_off(answer) if copy else is_truncated(answer),
+        "other_language": is_other_language(prompt, answer),
+    }
+    return [d for d in ORDER if fired.get(d)]
 
 
 def completions(df: DataFrame) -> DataFrame:
