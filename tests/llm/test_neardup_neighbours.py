@@ -54,6 +54,16 @@ def test_groups_are_linear_and_connected(spark):
     assert all(group[a] == group[b] for a, b in _truth(rows[:-300], 3, 0.5) if a in group)
 
 
+def test_large_classes_keep_all_pairs(spark):
+    rows = [(i, f"one copy of a rather{'!' * (i % 7)} long and equal text, which many rows have") for i in range(1100)]
+    rows += [(2000 + i, "one copy of a rather long and equal text, which many rows had" + "." * i) for i in range(3)]
+    df = spark.createDataFrame(rows, "k bigint, body string")
+    members, pairs = neardup.similar(df, "k", "body", k=3, least=0.5, bands=32, rows=3, radius=70)
+    for block in (1000, 100):
+        out = neardup.expand(members, pairs, block=block)
+        assert out.count() == out.distinct().count() == 1103 * 1102 // 2 and out.where("id_a >= id_b").isEmpty()
+
+
 def test_hot_shards_lose_nothing_in_blocks(spark):
     rows = [(i, "shared opening words of every text in this shard " + " ".join(f"t{i}x{j}" for j in range(3))) for i in range(200)]
     df = spark.createDataFrame(rows, "k bigint, body string")

@@ -341,23 +341,35 @@ def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float
     return prepared.select("id", "same"), checked
 
 
-def expand(members: DataFrame, pairs: DataFrame, copies: int = 1000) -> DataFrame:
-    """Pairs of rows (id_a, id_b), id_a < id_b: of similar classes, and of one class.
+def expand(members: DataFrame, pairs: DataFrame, copies: int | None = None, block: int = 1000) -> DataFrame:
+    """Pairs of rows (id_a, id_b), id_a < id_b: all pairs of similar classes, and all of one class, whatever its size.
 
-    All pairs of rows, also between copies, as long as a class has at most ``copies`` rows. A larger class of equal
-    texts stands for itself by its smallest id: that id is linked with every copy and with the classes similar to
-    its own, so no link between different texts is lost and the result stays linear in the copies.
+    The result grows with the square of a class, as the pairs do; :func:`groups` is the linear form. The rows of a class
+    of more than ``block`` rows are spread over blocks, so that no task puts out all its pairs; this loses nothing.
+
+    Only a caller who gives ``copies`` gets less: a class of more rows then stands for itself by its smallest id, which is
+    linked with the class's rows and with similar classes. Its other rows, whose texts may differ in all but their
+    tuples, lose their links with one another and with similar classes.
     """
     once = members.distinct()
     sizes = once.groupBy("same").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1")  # counted map-side first
     known = durable(once.join(sizes, "same", "left"))
-    stands = known.where(F.coalesce("n", F.lit(1)) <= copies).unionByName(known.where((F.col("n") > copies) & (F.col("id") == F.col("rep"))))
-    a, b = stands.select(F.col("same").alias("a"), F.col("id").alias("x")), stands.select(F.col("same").alias("b"), F.col("id").alias("y"))
-    across = pairs.select("a", "b").join(a, "a").join(b, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    own = known.where((F.col("n") > 1) & (F.col("n") <= copies))
-    within = own.select("same", F.col("id").alias("id_a")).join(own.select("same", F.col("id").alias("id_b")), "same").where("id_a < id_b").select("id_a", "id_b")
-    star = known.where((F.col("n") > copies) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    return across.unionByName(within).unionByName(star)
+    star = None
+    if copies is not None:
+        star = known.where((F.col("n") > copies) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+        known = known.where(F.coalesce("n", F.lit(1)) <= copies).unionByName(known.where((F.col("n") > copies) & (F.col("id") == F.col("rep"))))
+    blocks = (F.coalesce(F.col("n"), F.lit(1)) / block).cast("int") + 1
+    known = known.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")
+    large = known.where("blocks > 1").select(F.col("same").alias("b"), "blocks").distinct()
+    a, b = known.select(F.col("same").alias("a"), F.col("id").alias("x")), known.select(F.col("same").alias("b"), "own", F.col("id").alias("y"))
+    ends = pairs.select("a", "b").join(large, "b", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    across = ends.join(a, "a").select("b", "x", each).join(b, ["b", "own"]).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    several = known.where("n > 1")
+    left, right = several.select("same", F.col("id").alias("id_a"), each), several.select("same", "own", F.col("id").alias("id_b"))
+    within = left.join(right, ["same", "own"]).where("id_a < id_b").select("id_a", "id_b")
+    out = across.unionByName(within)
+    return out.unionByName(star) if star else out
 
 
 def groups(members: DataFrame, pairs: DataFrame, most: int = 30) -> DataFrame:
