@@ -128,3 +128,14 @@ def test_restoring_wrong_encodings(spark):
     assert not out[903][1] and out[904] == (None, False) and out[905] == ("", False) and out[907] == (FINE, False) and not out[908][1]
     assert not any(out[i][1] for i, _, _ in _corpus())
     assert mojibake.repair(df.where("false"), "doc", "body", "l").count() == 0
+
+
+def test_restoring_short_stretches_inside_other_text(spark):
+    word = "Словарь заменяет журнал"
+    parts = {900: ("cp1251", "latin-1"), 901: ("koi8-r", "latin-1"), 902: ("cp866", "cp437")}
+    text = lambda w: f'{{"level": "info", "component": "router", "cache": "miss", "retries": 3, "café": true, "title": "{w}"}}'
+    rows = _corpus() + [(i, text(word.encode(a).decode(b)), None) for i, (a, b) in parts.items()] + [(903, "Журнал".encode("cp1251").decode("latin-1")[:5] + " is full", None), (904, text(word), None)]
+    out = {r["doc"]: (r["restored"], r["damaged"]) for r in mojibake.repair(spark.createDataFrame(rows, "doc bigint, body string, l string"), "doc", "body", "l").collect()}
+    assert all(out[i] == (text(word), True) for i in parts)
+    assert out[903] == ("Журна is full", True) and out[904] == (text(word), False)
+    assert not any(out[i][1] for i, _, _ in _corpus())
