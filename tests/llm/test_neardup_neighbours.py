@@ -49,8 +49,8 @@ def test_groups_are_linear_and_connected(spark):
     df = spark.createDataFrame(rows, "k bigint, body string")
     members, pairs = neardup.similar(df, "k", "body", k=3, least=0.5, bands=32, rows=3, radius=70)
     out = neardup.groups(members, pairs).collect()
-    assert len({r["group"] for r in out if r["id"] >= 1000}) == 1 and sum(r["id"] >= 1000 for r in out) == 300
-    group = {r["id"]: r["group"] for r in out}
+    assert {(r["class_id"], r["group_id"]) for r in out if r["id"] >= 1000} == {(1000, 1000)} and sum(r["id"] >= 1000 for r in out) == 300
+    group = {r["id"]: r["group_id"] for r in out}
     assert all(group[a] == group[b] for a, b in _truth(rows[:-300], 3, 0.5) if a in group)
 
 
@@ -69,10 +69,12 @@ def test_hot_shards_lose_nothing_in_blocks(spark):
     df = spark.createDataFrame(rows, "k bigint, body string")
     prepared = neardup._prepare(df, "k", "body", 3, 4, 1)
     shards = neardup._shards(prepared, 4)
-    plain = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, []), 90).collect()}
+    listed = lambda x: spark.createDataFrame(x, "key bigint, blocks int")
+    plain = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, listed([])), 90).collect()}
     keys = [r["key"] for r in shards.groupBy("key").count().where("count > 50").collect()]
-    cut = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, [(k, 4) for k in keys]), 90).collect()}
-    assert keys and cut == plain
+    cut = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, listed([(k, 4) for k in keys])), 90).collect()}
+    few = {tuple(r) for r in neardup._candidates(neardup._blocks(shards, listed([])), 90, chunk=50).collect()}
+    assert keys and cut == plain == few
 
 
 def test_no_rows(spark):
@@ -81,15 +83,30 @@ def test_no_rows(spark):
     assert members.count() == 0 and pairs.count() == 0 and neardup.expand(members, pairs).count() == 0
 
 
-def test_forest_finds_what_a_scan_finds():
+def test_trees_find_what_a_scan_finds_and_look_at_a_pair_once():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, (20, 2)).astype(np.uint64)
     prints = base[rng.integers(0, 20, 400)] ^ (np.uint64(1) << rng.integers(0, 60, (400, 2)).astype(np.uint64))
+    prints[::9] = prints[1]
     shard = np.sort(rng.integers(0, 5, 400))
-    got = {(int(a), int(b)) for q, n in neardup.Forest(shard, prints).search(8) for a, b in zip(q, n)}
     d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
-    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if shard[i] == shard[j] and d[i, j] <= 8}
-    assert got == want
+    all_pairs = {(i, j) for i in range(400) for j in range(i + 1, 400) if shard[i] == shard[j]}
+    for radius in (0, 8, 70):
+        got, visits = neardup.near_pairs(shard, prints, radius)
+        assert {tuple(map(int, x)) for x in got} == {(i, j) for i, j in all_pairs if d[i, j] <= radius}
+        assert len(got) == len({tuple(x) for x in got}) and visits <= len(all_pairs)
+
+
+def test_share_of_a_shard_that_a_tree_looks_at():
+    """Small radii prune a shard of 20,000 unrelated prints; the radius that similarity 0.5 needs does not (README)."""
+    prints = np.random.default_rng(4).integers(0, 1 << 63, (20_000, 3)).astype(np.uint64)
+    forest = neardup.Forest(np.zeros(20_000, np.int64), prints)
+    share = {}
+    for radius in (0, 2, 5):
+        forest.visits = 0
+        assert sum(len(a) for a, _ in forest.search(radius)) == 0
+        share[radius] = forest.visits / (20_000 * 19_999 / 2)
+    assert share[0] < 0.002 and share[2] < 0.1 and share[0] < share[2] < share[5]
 
 
 def _vectors(seed, n=1500, dim=16):
@@ -137,11 +154,3 @@ def test_additive_codes_come_close():
     one, four = (np.square(x - neighbours.encode(x, books[:m])[1]).sum() for m in (1, 4))
     greedy = np.square(x - neighbours.encode(x, books, beam=1)[1]).sum()
     assert four < 0.35 * one and four <= greedy
-
-
-def test_many_copies_stand_for_themselves_by_one_row(spark):
-    rows = [(i, "one copy of a rather long and equal text") for i in range(40)] + [(50, "one copy of a rather long and equal word"), (51, "one copy of a rather long and equal word")]
-    members, pairs = neardup.similar(spark.createDataFrame(rows, "k bigint, body string"), "k", "body", k=3, least=0.5, bands=32, rows=3, radius=70)
-    full = {tuple(r) for r in neardup.expand(members, pairs).collect()}
-    assert len(full) == 40 * 39 // 2 + 80 + 1
-    assert {tuple(r) for r in neardup.expand(members, pairs, 10).collect()} == {(0, i) for i in range(1, 40)} | {(0, 50), (0, 51), (50, 51)}

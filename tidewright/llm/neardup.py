@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import durable
+from tidewright.session import durable, few
 
 U = np.uint64
 WORD_SEED = 0x9E3779B97F4A7C15
-BITMAP_BITS = 1 << 23
 #: Columns of the fingerprint, 64 bits each, and the seeds of their votes.
 PRINTS = ("f1", "f2", "f3")
 VOTE_SEEDS = (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
@@ -103,11 +102,12 @@ class Forest:
     """BK-trees of many shards, grown and searched level by level."""
 
     def __init__(self, shard: np.ndarray, prints: np.ndarray):
-        """Rows must be sorted by shard; the first row of each is its tree's root."""
+        """Rows must be sorted by shard, each print once in a shard; the first row of each is its tree's root."""
         n = len(shard)
         self.prints = prints
         self.root = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
         self.tree = np.cumsum(np.r_[True, shard[1:] != shard[:-1]]) - 1
+        self.visits = 0  # distances that searches have asked for
         node = np.full(n, -1, np.int64)
         node[self.root] = self.root
         at = self.root[self.tree]  # where each unplaced row stands on its way down
@@ -132,20 +132,51 @@ class Forest:
         return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(axis=1, dtype=np.int64)
 
     def search(self, radius: int, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query row, found row), query before found, of each shard within the radius."""
+        """Pairs (found row, query row), found before query, of each shard within the radius.
+
+        A row stands below earlier rows only, so a subtree that begins behind the query holds nothing for it: each pair
+        of rows is looked at once at most.
+        """
         for low in range(0, len(self.tree), block):
             query = np.arange(low, min(low + block, len(self.tree)))
             node = self.root[self.tree[query]]
+            query, node = query[node < query], node[node < query]
             while len(query):
+                self.visits += len(query)
                 d = self.distance(query, node)
-                hit = (d <= radius) & (query < node)
-                yield query[hit], node[hit]
+                hit = d <= radius
+                yield node[hit], query[hit]
                 # children whose edge lies within the radius of this distance stand next to each other
                 a = np.searchsorted(self.slot, node * 256 + np.maximum(d - radius, 0))
                 b = np.searchsorted(self.slot, node * 256 + np.minimum(d + radius, 255), side="right")
                 n = b - a
                 query = np.repeat(query, n)
                 node = self.child[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                query, node = query[node < query], node[node < query]
+
+
+def near_pairs(shard: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+    """Pairs of row numbers (a, b), a < b, of one shard whose prints lie within the radius; and the distances asked for.
+
+    Rows must be sorted by shard. Rows of equal print share one node of the tree.
+    """
+    order = np.lexsort((*prints.T, shard))
+    s, p = shard[order], prints[order]
+    new = np.r_[True, (s[1:] != s[:-1]) | (p[1:] != p[:-1]).any(axis=1)]
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(order)])
+    forest = Forest(s[first], p[first])
+    several = np.flatnonzero(size > 1)
+    found = [np.stack([several, several], 1), *(np.stack(x, 1) for x in forest.search(radius))]
+    pair = np.concatenate(found)
+    n = size[pair[:, 0]] * size[pair[:, 1]]
+    which = np.repeat(np.arange(len(pair)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = size[pair[which, 1]]
+    a, b = order[first[pair[which, 0]] + at // wide], order[first[pair[which, 1]] + at % wide]
+    both = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+    twice = pair[which, 0] == pair[which, 1]
+    return both[~twice | (a < b)], forest.visits
 
 
 _PRINTS = ", ".join(f"{c} bigint" for c in PRINTS)
@@ -190,37 +221,37 @@ def _shards(prepared: DataFrame, bands: int) -> DataFrame:
     return prepared.where("keys IS NOT NULL").select("keys", "same", *PRINTS).mapInArrow(run, f"key bigint, same bigint, {_PRINTS}")
 
 
-def _hot(shards: DataFrame, limit: int, sample: int = 64) -> list[tuple[int, int]]:
-    """Keys that hold more than about ``limit`` classes, with the number of blocks to cut them into.
+def _hot(shards: DataFrame, limit: int, sample: int = 64) -> DataFrame:
+    """Keys that hold more than about ``limit`` classes, with the number of blocks to cut them into: key, blocks.
 
     Estimated on the classes of every ``sample``-th hash value; it steers the work's spread and loses nothing.
     """
-    few = shards.where(F.pmod(F.xxhash64("same"), F.lit(sample)) == 0).groupBy("key").agg((F.approx_count_distinct("same") * sample).alias("n"))
-    rows = few.where(F.col("n") > limit).orderBy(F.col("n").desc()).limit(10_000).collect()
-    return [(r["key"], int(r["n"] // limit) + 1) for r in rows]
-
-
-def _blocks(shards: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
-    """Adds ``side``: 0 for plain shards. A hot shard is cut into blocks, each pair of which is a shard of its own."""
-    plain = shards.withColumn("side", F.lit(0)).withColumn("block", F.lit(0))
-    if not hot:
-        return plain
-    spark = shards.sparkSession
-    listed = F.broadcast(spark.createDataFrame(hot, "key bigint, blocks int"))  # 10,000 rows at most
-    joined = shards.join(listed, "key", "left")
+    part = shards.where(F.pmod(F.xxhash64("same"), F.lit(sample)) == 0).groupBy("key").agg((F.approx_count_distinct("same") * sample).alias("n"))
+    return part.where(F.col("n") > limit).select("key", ((F.col("n") / limit).cast("int") + 1).alias("blocks"))
+
+
+def _blocks(shards: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``side``: 0 for plain shards. A hot shard is cut into blocks, each pair of which is a shard of its own.
+
+    The list of hot keys is broadcast while it is short, else joined by a shuffle, in which AQE splits what is skewed.
+    """
+    hot = durable(hot)
+    if hot.isEmpty():
+        return shards.withColumn("side", F.lit(0))
+    joined = shards.join(F.broadcast(hot) if few(hot) else hot, "key", "left")
     own = F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int")
     copies = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     each = joined.withColumn("own", own).withColumn("other", F.explode(copies))
     pair = F.when(F.col("blocks").isNull(), 0).otherwise(1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    return each.select("key", "same", *PRINTS, pair.cast("int").alias("side"), F.coalesce("own", F.lit(0)).alias("block"))
+    return each.select("key", "same", *PRINTS, pair.cast("int").alias("side"))
 
 
 def _candidates(shards: DataFrame, radius: int, chunk: int = 1 << 19) -> DataFrame:
     """Distinct pairs of classes (a, b), a < b, that some tree finds within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, side, same, *words = x
+        def found(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            key, side, same, *words = map(np.concatenate, zip(*held))
             shard = mix(key.view(U) + mix(side.astype(U)))
             order = np.lexsort((same, shard))
             shard, same = shard[order], same[order]
@@ -231,41 +262,47 @@ def _candidates(shards: DataFrame, radius: int, chunk: int = 1 << 19) -> DataFra
             shard, same, prints = shard[twice], same[twice], np.stack([w[order[twice]] for w in words], 1).view(U)
             if not len(shard):
                 return
-            pairs = [np.stack([np.minimum(same[q], same[r]), np.maximum(same[q], same[r])], 1) for q, r in Forest(shard, prints).search(radius)]
-            unique = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            pair = same[near_pairs(shard, prints, radius)[0]]
+            unique = np.unique(np.stack([pair.min(axis=1), pair.max(axis=1)], 1), axis=0) if len(pair) else np.zeros((0, 2), np.int64)
             for at in range(0, len(unique), 1 << 16):
                 part = unique[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
 
         held: list[list[np.ndarray]] = []
+        count = 0
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            if sum(len(x[0]) for x in held) >= chunk:  # rows come sorted by key: all but the open shard can go
-                whole = [np.concatenate(c) for c in zip(*held)]
-                same_key = whole[0] == whole[0][-1]
-                last = np.flatnonzero(~same_key)
-                if len(last):
-                    yield from found([c[: last[-1] + 1] for c in whole])
-                    held = [[c[last[-1] + 1 :] for c in whole]]
-                else:
-                    held = [whole]
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy() for c in batch.columns]
+            if count + batch.num_rows >= chunk:  # rows come sorted by key: all but the open shard can go
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                if cut or held and held[-1][0][-1] != rows[0][0]:
+                    yield from found([*held, [c[:cut] for c in rows]])
+                    held, count, rows = [], 0, [c[cut:] for c in rows]
+            held.append(rows)
+            count += len(rows[0])
         if held:
-            yield from found([np.concatenate(c) for c in zip(*held)])
+            yield from found(held)
 
     rows = shards.select("key", "side", "same", *PRINTS).repartition("key", "side").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _place(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)).cast("int")
+def _bits(n: int) -> int:
+    """Bits of a bitmap for n values: eight each, within 1 Mbit and 256 Mbit (32 MB, the most that is broadcast)."""
+    return 1 << min(28, max(20, (8 * n - 1).bit_length()))
 
 
-def _bitmap(rows: DataFrame, column: str) -> bytes:
-    """A bit for each hash of the column; its size is fixed, so any number of values can be told from the rest in part."""
-    place = _place(column) + 1  # Spark counts buckets and their bits from 1
+def _place(column: str, bits: int):
+    return F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
+
+
+def _bitmap(rows: DataFrame, column: str, bits: int) -> bytes:
+    """A bit for each hash of the column; it tells any number of values from the rest, in part when they are very many."""
+    place = _place(column, bits) + 1  # Spark counts buckets and their bits from 1
     parts = rows.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    out = bytearray(BITMAP_BITS // 8)
-    for r in parts.collect():  # 1 MB in all
+    out = bytearray(bits // 8)
+    for r in parts.collect():  # the bitmap's own size
         m = bytes(r["m"])
         out[(r["n"] - 1) * len(m) : r["n"] * len(m)] = m
     return bytes(out)
@@ -282,7 +319,7 @@ def _marked(rows: DataFrame, column: str, bitmap: bytes) -> DataFrame:
             p = batch.column(batch.num_columns - 1).to_numpy()
             yield batch.filter(pa.array(((bits[p >> 3] >> (p & 7)) & 1).astype(bool))).select(list(range(batch.num_columns - 1)))
 
-    return rows.withColumn("__place", _place(column)).mapInArrow(keep, schema)
+    return rows.withColumn("__place", _place(column, 8 * len(bitmap))).mapInArrow(keep, schema)
 
 
 def _sets(df: DataFrame, prepared: DataFrame, ends: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -290,10 +327,11 @@ def _sets(df: DataFrame, prepared: DataFrame, ends: DataFrame, id_col: str, text
 
     Bitmaps keep the texts that no pair asks for out of the join's shuffle.
     """
-    first = _marked(prepared.where("keys IS NOT NULL").select("id", "same"), "same", _bitmap(ends, "same"))
+    bits = _bits(ends.count())
+    first = _marked(prepared.where("keys IS NOT NULL").select("id", "same"), "same", _bitmap(ends, "same", bits))
     some = durable(first.groupBy("same").agg(F.min("id").alias("id")))
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    texts = _marked(texts, "id", _bitmap(some, "id")).join(some, "id")
+    texts = _marked(texts, "id", _bitmap(some, "id", bits)).join(some, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,23 +379,15 @@ def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float
     return prepared.select("id", "same"), checked
 
 
-def expand(members: DataFrame, pairs: DataFrame, copies: int | None = None, block: int = 1000) -> DataFrame:
+def expand(members: DataFrame, pairs: DataFrame, block: int = 1000) -> DataFrame:
     """Pairs of rows (id_a, id_b), id_a < id_b: all pairs of similar classes, and all of one class, whatever its size.
 
     The result grows with the square of a class, as the pairs do; :func:`groups` is the linear form. The rows of a class
     of more than ``block`` rows are spread over blocks, so that no task puts out all its pairs; this loses nothing.
-
-    Only a caller who gives ``copies`` gets less: a class of more rows then stands for itself by its smallest id, which is
-    linked with the class's rows and with similar classes. Its other rows, whose texts may differ in all but their
-    tuples, lose their links with one another and with similar classes.
     """
     once = members.distinct()
-    sizes = once.groupBy("same").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1")  # counted map-side first
+    sizes = once.groupBy("same").agg(F.count("*").alias("n")).where("n > 1")  # counted map-side first
     known = durable(once.join(sizes, "same", "left"))
-    star = None
-    if copies is not None:
-        star = known.where((F.col("n") > copies) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-        known = known.where(F.coalesce("n", F.lit(1)) <= copies).unionByName(known.where((F.col("n") > copies) & (F.col("id") == F.col("rep"))))
     blocks = (F.coalesce(F.col("n"), F.lit(1)) / block).cast("int") + 1
     known = known.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")
@@ -368,17 +398,16 @@ def expand(members: DataFrame, pairs: DataFrame, copies: int | None = None, bloc
     several = known.where("n > 1")
     left, right = several.select("same", F.col("id").alias("id_a"), each), several.select("same", "own", F.col("id").alias("id_b"))
     within = left.join(right, ["same", "own"]).where("id_a < id_b").select("id_a", "id_b")
-    out = across.unionByName(within)
-    return out.unionByName(star) if star else out
+    return across.unionByName(within)
 
 
 def groups(members: DataFrame, pairs: DataFrame, most: int = 30) -> DataFrame:
-    """One row per row of the table: id, same, group (smallest class hash it is linked to, over any number of links), links.
+    """One row per row of the table: id, class_id, group_id, links.
 
-    Labels spread over the links and jump to their label's label each round, so rounds grow with the logarithm of
-    the longest chain. ``links`` counts the other classes that are similar to the row's own.
+    A class or group is named by its smallest id; a group is what links hold together over any number of steps. ``links``
+    counts the other classes that are similar to the row's own. Labels spread over the links and jump to their label's
+    label each round, so rounds grow with the logarithm of the longest chain.
     """
-    classes = members.select("same").distinct()
     both = durable(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     label = durable(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("same"), F.least("u", "v").alias("label")))
     for _ in range(most):
@@ -392,6 +421,7 @@ def groups(members: DataFrame, pairs: DataFrame, most: int = 30) -> DataFrame:
     else:
         raise RuntimeError("groups did not settle; raise `most`")
     links = both.groupBy("u").agg(F.count("*").alias("links")).withColumnRenamed("u", "same")
-    info = classes.join(label, "same", "left").join(links, "same", "left")
-    out = members.join(info, "same").select("id", "same", F.coalesce("label", "same").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
-    return out
+    classes = members.groupBy("same").agg(F.min("id").alias("class_id"))
+    info = classes.join(label, "same", "left").join(links, "same", "left").withColumn("label", F.coalesce("label", "same"))
+    info = info.join(info.groupBy("label").agg(F.min("class_id").alias("group_id")), "label")
+    return members.join(info, "same").select("id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -30,7 +30,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for name, (key, text) in TEXTS.items():
         members, pairs = neardup.similar(table(spark, d, name, key, text), key, text, **NEAR)
-        out.append(neardup.groups(members, durable(pairs)).select(F.lit(name).alias("source"), "id", "same", "group", "links"))
+        out.append(neardup.groups(members, durable(pairs)).select(F.lit(name).alias("source"), "id", "class_id", "group_id", "links"))
     return out[0].unionByName(out[1])
 
 
