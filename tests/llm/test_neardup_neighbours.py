@@ -129,8 +129,8 @@ def test_neighbours_recall_dirt_and_ties(spark):
     rows += [(5000 + i, rows[7][1]) for i in range(9)]  # equal vectors, more than k
     rows += [(6000, None), (6001, [0.0] * 16), (6002, [float("nan")] + [1.0] * 15), (6003, [1.0] * 15), (6004, []), (6005, [None] + [1.0] * 15), (6006, [2 * x for x in rows[8][1]]), (0, rows[0][1])]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "k bigint, v array<double>, id double").repartition(4)
-    for limit in (20_000, 40):  # with a small limit full cells are cut into sides
-        out = neighbours.neighbours(df, "k", "v", 16, cell=100, cell_limit=limit).collect()
+    for options in ({}, {"cell_limit": 40, "query_limit": 150}, {"train": 200}):  # full cells cut into sides and blocks; cells fitted in Spark
+        out = neighbours.neighbours(df, "k", "v", 16, cell=100, **options).collect()
         got = {}
         for r in sorted(out, key=lambda r: r["place"]):
             got.setdefault(r["id"], []).append(r["neighbor_id"])
@@ -150,7 +150,29 @@ def test_neighbours_of_few_or_no_vectors(spark):
 def test_additive_codes_come_close():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8)).astype(np.float32)
-    books = neighbours.fit(x, 1, 4, 64).books
+    one_cell = neighbours.Index(np.zeros((1, 8), np.float32), np.array([0, 1]), np.zeros((1, 8), np.float32), np.zeros((0, 0, 8), np.float32))
+    books = neighbours.books_for(x, one_cell)
     one, four = (np.square(x - neighbours.encode(x, books[:m])[1]).sum() for m in (1, 4))
     greedy = np.square(x - neighbours.encode(x, books, beam=1)[1]).sum()
     assert four < 0.35 * one and four <= greedy
+
+
+def test_cells_keep_their_size_as_the_collection_grows():
+    for n in (150_000, 2_500_000, 10_000_000, 100_000_000):
+        tops, cells = neighbours.cells_for(n, 64, 400)
+        assert 380 <= n / cells <= 420 and tops * tops >= cells and tops <= cells
+    tops, cells = neighbours.cells_for(10**9, 64, 400)  # the centres' bytes are used up
+    assert cells * 64 * 4 == neighbours.CENTRE_BYTES and tops < 600
+
+
+def test_near_cells_are_those_a_scan_finds():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    top = rng.normal(size=(5, 8)).astype(np.float32)
+    first = np.array([0, 3, 4, 9, 9 + 6, 20])
+    index = neighbours.Index(top, first, rng.normal(size=(20, 8)).astype(np.float32), np.zeros((0, 0, 8), np.float32))
+    got = neighbours.near_cells(x, index, 4, beam=5)
+    want = np.argsort(((x[:, None] - index.centres[None]) ** 2).sum(2), axis=1)[:, :4]
+    assert (got == want).all()
+    one = neighbours.near_cells(x, index, 4, beam=1)
+    assert ((one[:, 1] < 0) == (one[:, 0] == 3)).all()

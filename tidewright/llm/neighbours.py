@@ -1,12 +1,15 @@
 """The k most similar vectors of every vector, by additive quantisation and exact reranking.
 
-Vectors are made unit vectors; equal ones form one row. A coarse codebook cuts the collection into cells, its size
-following the collection's so that cells stay small. What a vector leaves beside its cell's centre is encoded by
-several codebooks over all dimensions (beam search over the sums of one codeword from each); the codes and the
-norm of each reconstruction are stored. Each vector is a query in the cells nearest to it: a table of its products
-with all codewords scores the cell's codes by look-up, and the best are ranked again by exact cosine.
-
-Codebooks are fitted on a bounded sample (``train`` vectors of smallest hash); all vectors are indexed and queried.
+Vectors are made unit vectors; equal ones form one row. A coarse codebook of two levels cuts the collection into
+cells, their number following the collection's so that cells stay small: about the square root of it on top, and under
+each top centre as many centres as its share of the vectors asks for. A vector looks at the cells of its nearest top
+centres only. What it leaves beside its cell's centre is encoded by several codebooks over all dimensions (beam search
+over the sums of one codeword from each); the codes and the norm of each reconstruction are stored. Each vector is a
+query in the cells nearest to it: a table of its products with all codewords scores the cell's codes by look-up, and
+the best are ranked again by exact cosine.
+
+Top centres and additive codebooks are fitted on a bounded sample (``train`` vectors of smallest hash), the cells under
+a top centre on ``PER_CELL`` vectors a cell, in Spark; all vectors are indexed and queried.
 """
 
 from __future__ import annotations
@@ -22,12 +25,19 @@ from pyspark.sql import functions as F
 from tidewright.session import durable
 
 F4 = np.float32
+#: Bytes of all cells' centres, which every task holds: cells grow beyond their wanted size only when this is used up.
+CENTRE_BYTES = 64 << 20
+#: Vectors that fit a cell's centre, and cells under one top centre at most.
+PER_CELL, CELLS_OF_TOP = 16, 4096
+BEAM = 6
 
 
 @dataclass
 class Index:
     """Coarse centres and additive codebooks; what a task needs to encode and to score."""
 
+    tops: np.ndarray  # tops x dim
+    first: np.ndarray  # number of the first cell of each top, and of all cells
     centres: np.ndarray  # cells x dim
     books: np.ndarray  # books x words x dim
 
@@ -89,12 +99,23 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum((books[m][codes[:, m]] for m in range(books.shape[0])), np.zeros((len(codes), books.shape[2]), F4))
 
 
-def fit(x: np.ndarray, cells: int, n_books: int = 4, n_words: int = 64, seed: int = 1) -> Index:
-    """Coarse k-means, then residual codebooks, each fitted on what beam search with the books before leaves."""
+def cells_for(n: int, dim: int, cell: int) -> tuple[int, int]:
+    """Numbers of top centres and of cells for n vectors: cells of about ``cell`` vectors, as far as the centres' bytes go."""
+    cells = max(1, min(n // cell, CENTRE_BYTES // (4 * dim)))
+    return int(np.ceil(np.sqrt(cells))), cells
+
+
+def under(x: np.ndarray, top: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of the cells under one top centre, fitted on its vectors, and how many of these each has."""
+    centres = kmeans(x, max(1, min(cells, CELLS_OF_TOP, len(x))), 6, np.random.default_rng(top)).astype(F4)
+    return centres, np.bincount(_nearest(x, centres), minlength=len(centres))
+
+
+def books_for(x: np.ndarray, index: Index, n_books: int = 4, n_words: int = 64, seed: int = 1) -> np.ndarray:
+    """Residual codebooks, each fitted on what beam search with the books before leaves."""
     rng = np.random.default_rng(seed)
-    centres = kmeans(x, cells, 6, rng)
-    rest = x - centres[_nearest(x, centres)]
-    some = rest[rng.choice(len(rest), min(len(rest), 16_384), replace=False)]
+    some = x[rng.choice(len(x), min(len(x), 16_384), replace=False)]
+    some = some - index.centres[near_cells(some, index, 1)[:, 0]]
     books: list[np.ndarray] = []
     left = some
     for _ in range(n_books):
@@ -103,7 +124,30 @@ def fit(x: np.ndarray, cells: int, n_books: int = 4, n_words: int = 64, seed: in
             book = np.concatenate([book, np.zeros((n_words - len(book), x.shape[1]), F4)])
         books.append(book.astype(F4))
         left = some - encode(some, np.stack(books))[1]
-    return Index(centres.astype(F4), np.stack(books))
+    return np.stack(books)
+
+
+def near_cells(x: np.ndarray, index: Index, p: int, beam: int = BEAM) -> np.ndarray:
+    """The p cells nearest to each vector among those of its ``beam`` nearest top centres, nearest first; -1 where there are fewer."""
+    n, tops = len(x), len(index.tops)
+    beam = min(beam, tops)
+    score = x @ index.tops.T - (index.tops * index.tops).sum(1) / 2
+    chosen = np.argpartition(-score, beam - 1, axis=1)[:, :beam] if beam < tops else np.tile(np.arange(tops), (n, 1))
+    half = (index.centres * index.centres).sum(1) / 2
+    best, cell = np.full((n, beam * p), -np.inf, F4), np.full((n, beam * p), -1, np.int64)
+    order = np.argsort(chosen, axis=None, kind="stable")
+    owners, cuts = np.unique(chosen.ravel()[order], return_index=True)
+    for t, at in zip(owners.tolist(), np.split(order, cuts[1:])):
+        row, place = at // beam, at % beam
+        a, b = index.first[t], index.first[t + 1]
+        s = x[row] @ index.centres[a:b].T - half[a:b]
+        k = min(p, b - a)
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < b - a else np.tile(np.arange(k), (len(row), 1))
+        into = (place * p)[:, None] + np.arange(k)
+        best[row[:, None], into] = np.take_along_axis(s, top, 1)
+        cell[row[:, None], into] = top + a
+    order = np.lexsort((cell, -best), axis=1)[:, :p]
+    return np.take_along_axis(cell, order, 1)
 
 
 def _unit(flat: np.ndarray) -> np.ndarray:
@@ -135,53 +179,94 @@ def units(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, unit binary").select("id", F.xxhash64("unit").alias("same"), "unit")
 
 
-def _train(vectors: DataFrame, n: int, dim: int, train: int, cell: int, cell_limit: int) -> tuple[Index, np.ndarray]:
-    """Fit on about ``train`` vectors of smallest hash, with a coarse cell for each ``cell`` vectors.
+def _sample(vectors: DataFrame, n: int, rows: int) -> DataFrame:
+    """About ``rows`` of n vectors, those of smallest hash."""
+    share = min(1.0, 1.1 * rows / n)
+    return vectors.select("unit") if share == 1 else vectors.where(F.pmod("same", F.lit(1 << 30)) < int(share * (1 << 30))).select("unit")
+
+
+def _train(vectors: DataFrame, n: int, dim: int, train: int, cell: int, probes: int, cell_limit: int, query_limit: int) -> tuple[Index, np.ndarray, np.ndarray]:
+    """The index, and into how many sides (of items) and blocks (of queries) to cut each cell, by the samples' estimate of its size."""
+    tops, cells = cells_for(n, dim, cell)
+    x = _matrix(_sample(vectors, n, train).limit(train).toArrow().column(0).combine_chunks(), dim)
+    rng = np.random.default_rng(1)
+    top = kmeans(x, min(tops, max(1, len(x) // 8)), 6, rng).astype(F4)
+    own = _nearest(x, top)
+    share = np.bincount(own, minlength=len(top)) / len(x)
+    wanted = np.maximum(1, np.round(share * cells)).astype(np.int64)
+    if cells * PER_CELL <= len(x):
+        made = [under(x[own == t], t, wanted[t]) if share[t] else (top[t : t + 1], np.zeros(1, np.int64)) for t in range(len(top))]
+        seen = len(x)
+    else:
+        made, seen = _under_in_spark(_sample(vectors, n, cells * PER_CELL), top, wanted, dim)
+    index = Index(top, np.cumsum([0, *(len(c) for c, _ in made)]), np.concatenate([c for c, _ in made]), np.zeros((0, 0, dim), F4))
+    index.books = books_for(x, index)
+    size = np.concatenate([m for _, m in made]) * (n / seen)
+    return index, 1 + (size / cell_limit).astype(np.int64), 1 + (probes * size / query_limit).astype(np.int64)
+
+
+def _under_in_spark(sample: DataFrame, top: np.ndarray, wanted: np.ndarray, dim: int) -> tuple[list, int]:
+    """The same fit of cells, one task a top centre: the driver gets centres and counts (``CENTRE_BYTES`` at most), no vectors."""
+    sent = sample.sparkSession.sparkContext.broadcast((top, wanted))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_nearest(_matrix(batch.column(0), dim), sent.value[0]).astype(np.int32)), batch.column(0)], ["top", "unit"])
+
+    def fit(rows: pa.Table) -> pa.Table:
+        t = rows.column("top")[0].as_py()
+        x = np.frombuffer(b"".join(sorted(rows.column("unit").to_pylist())), F4).reshape(-1, dim)  # sorted: the same fit on each run
+        centres, count = under(x, t, sent.value[1][t])
+        return pa.table({"top": pa.array([t], pa.int32()), "centres": pa.array([centres.tobytes()], pa.binary()), "n": pa.array([count.astype(np.int64).tobytes()], pa.binary())})
 
-    Also says into how many sides to cut each cell, by the sample's estimate of its size.
-    """
-    share = min(1.0, 1.1 * train / n)
-    some = vectors.select("unit") if share == 1 else vectors.where(F.pmod("same", F.lit(1 << 30)) < int(share * (1 << 30))).select("unit")
-    x = _matrix(some.limit(train).toArrow().column(0).combine_chunks(), dim)
-    index = fit(x, max(1, min(n // cell, len(x) // 8)))
-    size = np.bincount(_nearest(x, index.centres), minlength=len(index.centres)) * (n / len(x))
-    return index, 1 + (size / cell_limit).astype(np.int64)
+    rows = sample.mapInArrow(own, "top int, unit binary").groupBy("top").applyInArrow(fit, "top int, centres binary, n binary").collect()
+    got = {r["top"]: (np.frombuffer(r["centres"], F4).reshape(-1, dim), np.frombuffer(r["n"], np.int64)) for r in rows}
+    made = [got.get(t, (top[t : t + 1], np.zeros(1, np.int64))) for t in range(len(top))]
+    return made, max(1, int(sum(m.sum() for _, m in made)))
 
 
-def _assign(vectors: DataFrame, index: Index, sides: np.ndarray, dim: int, probes: int) -> DataFrame:
-    """Rows for the cells: an item in its own cell (with codes and norm), a query in the ``probes`` nearest.
+def _assign(vectors: DataFrame, index: Index, sides: np.ndarray, blocks: np.ndarray, dim: int, probes: int) -> DataFrame:
+    """Rows for the places of cells: key, rep, unit, code (an item's codes and norm), asks (whether it is a query there).
 
-    In its own cell a vector is both in one row. A cell of several sides has each item on one and each query on all.
+    A cell's places are its sides times its blocks. A vector is an item in the cell nearest to it, on one side and in
+    all blocks, and a query in the ``probes`` nearest cells, in one block and on all sides; where both meet, one row is
+    both. ``key`` is twice the place's number, plus one for rows that only ask, so that they come after the items.
     """
-    sent = vectors.sparkSession.sparkContext.broadcast((index.centres, index.books, sides))
+    sent = vectors.sparkSession.sparkContext.broadcast((index, sides, blocks, np.cumsum(sides * blocks) - sides * blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, books, many = sent.value
-        p = min(probes, len(centres))
-        half = (centres * centres).sum(1) / 2
+        own, n_sides, n_blocks, start = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 n = part.num_rows
                 x, ids = _matrix(part.column(1), dim), part.column(0).to_numpy()
-                score = x @ centres.T - half
-                near = np.argpartition(-score, p - 1, axis=1)[:, :p] if p < score.shape[1] else np.tile(np.arange(p), (n, 1))
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
-                codes, again = encode(x - centres[near[:, 0]], books)
-                norm = np.linalg.norm(centres[near[:, 0]] + again, axis=1).astype(F4)
+                near = near_cells(x, own, probes)
+                codes, again = encode(x - own.centres[near[:, 0]], own.books)
+                norm = np.linalg.norm(own.centres[near[:, 0]] + again, axis=1).astype(F4)
                 stored = np.concatenate([codes, norm[:, None].view(np.uint8)], axis=1)
-                row, rank, cell = np.repeat(np.arange(n), p), np.tile(np.arange(p), n), near.ravel()
-                times = many[cell]
-                row, rank, cell = (np.repeat(v, times) for v in (row, rank, cell))
-                side = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                item = (rank == 0) & (side == ids[row] % many[cell])
-                code = pa.array([stored[r].tobytes() if i else None for r, i in zip(row.tolist(), item.tolist())], pa.binary())
-                take = pa.array(row)
+                row, rank = np.nonzero(near >= 0)
+                cell = near[row, rank]
+                side, block = ids[row] % n_sides[cell], ids[row] // 7 % n_blocks[cell]
+                asks = np.repeat(np.arange(len(row)), n_sides[cell])  # a query: its block, every side
+                asked_side = np.arange(len(asks)) - np.repeat(np.cumsum(n_sides[cell]) - n_sides[cell], n_sides[cell])
+                mine = np.flatnonzero(rank == 0)
+                lies = np.repeat(mine, n_blocks[cell[mine]])  # an item: its side, every block
+                in_block = np.arange(len(lies)) - np.repeat(np.cumsum(n_blocks[cell[mine]]) - n_blocks[cell[mine]], n_blocks[cell[mine]])
+                other = in_block != block[lies]
+                lies, in_block = lies[other], in_block[other]
+                which = np.r_[asks, lies]
+                item = np.r_[(rank[asks] == 0) & (asked_side == side[asks]), np.ones(len(lies), bool)]
+                place = start[cell[which]] + np.r_[asked_side, side[lies]] * n_blocks[cell[which]] + np.r_[block[asks], in_block]
+                key = np.stack([place, cell[which]], 1)
+                code = pa.array([stored[r].tobytes() if i else None for r, i in zip(row[which].tolist(), item.tolist())], pa.binary())
+                take = pa.array(row[which])
+                asking = np.r_[np.ones(len(asks), bool), np.zeros(len(lies), bool)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(side.astype(np.int32)), part.column(0).take(take), part.column(1).take(take), code], ["cell", "side", "rep", "unit", "code"]
+                    [pa.array(key[:, 0] * 2 + ~item), pa.array(key[:, 1].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), code, pa.array(asking)], ["key", "cell", "rep", "unit", "code", "asks"]
                 )
 
-    return vectors.select(F.col("id").alias("rep"), "unit").mapInArrow(run, "cell int, side int, rep bigint, unit binary, code binary")
+    return vectors.select(F.col("id").alias("rep"), "unit").mapInArrow(run, "key bigint, cell int, rep bigint, unit binary, code binary, asks boolean")
 
 
 def _score(items: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, centre: np.ndarray, index: Index, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,53 +293,73 @@ def _score(items: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndar
     return which, best.astype(np.float64)
 
 
+@dataclass
+class _Place:
+    """The items of one place: at most about ``cell_limit``; what only asks streams by."""
+
+    cell: int
+    ids: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray
+    norms: np.ndarray
+
+    def answer(self, index: Index, ids: np.ndarray, x: np.ndarray, k: int, rerank: int, block: int) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(ids), block):
+            which, best = [], []
+            for low in range(0, len(self.ids), 4096):  # items in blocks too, so that one block of scores has a bound
+                part = slice(low, low + 4096)
+                w, s = _score(self.x[part], self.ids[part], self.codes[part], self.norms[part], x[a : a + block], ids[a : a + block], index.centres[self.cell], index, k, rerank)
+                which.append(w)
+                best.append(s)
+            w, s = np.concatenate(which, 1), np.concatenate(best, 1)
+            if len(which) > 1:
+                order = np.lexsort((w, -s), axis=1)[:, :k]
+                w, s = np.take_along_axis(w, order, 1), np.take_along_axis(s, order, 1)
+            both = np.concatenate([w.astype("<i8").view(np.uint8).reshape(len(w), -1), s.astype("<f4").view(np.uint8).reshape(len(s), -1)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + block]), pa.array([r.tobytes() for r in both], pa.binary())], ["rep", "found"])
+
+
 def _search(assigned: DataFrame, index: Index, dim: int, k: int, rerank: int, block: int) -> DataFrame:
-    """rep, found (bytes of k ids and k cosines): the best of each probed cell."""
-    sent = assigned.sparkSession.sparkContext.broadcast((index.centres, index.books))
+    """rep, found (bytes of k ids and k cosines): the best of each probed place."""
+    sent = assigned.sparkSession.sparkContext.broadcast(index)
     n_books = index.books.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Index(*sent.value)
+        own = sent.value
 
-        def search(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(rows: list[pa.RecordBatch]) -> tuple[_Place, np.ndarray]:
             t = pa.Table.from_batches(rows)
-            number = t.column("cell")[0].as_py()
-            ids = t.column("rep").to_numpy()
-            x = _matrix(t.column("unit"), dim)
-            code = t.column("code").to_pylist()
-            item = np.array([c is not None for c in code])
-            if not item.any():
-                return
-            raw = np.frombuffer(b"".join(c for c in code if c is not None), np.uint8).reshape(-1, n_books + 4)
+            raw = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(-1, n_books + 4)
             norms = np.ascontiguousarray(raw[:, n_books:]).view(F4).ravel()
-            for a in range(0, len(ids), block):
-                which, best = [], []
-                for low in range(0, len(norms), 4096):  # items in blocks too, so that one block of scores has a bound
-                    part = slice(low, low + 4096)
-                    w, s = _score(x[item][part], ids[item][part], raw[part, :n_books], norms[part], x[a : a + block], ids[a : a + block], own.centres[number], own, k, rerank)
-                    which.append(w)
-                    best.append(s)
-                w, s = np.concatenate(which, 1), np.concatenate(best, 1)
-                order = np.lexsort((w, -s), axis=1)[:, :k]
-                w, s = np.take_along_axis(w, order, 1), np.take_along_axis(s, order, 1)
-                both = np.concatenate([w.astype("<i8").view(np.uint8).reshape(len(w), -1), s.astype("<f4").view(np.uint8).reshape(len(s), -1)], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + block]), pa.array([r.tobytes() for r in both], pa.binary())], ["rep", "found"])
+            return _Place(t.column("cell")[0].as_py(), t.column("rep").to_numpy(), _matrix(t.column("unit"), dim), raw[:, :n_books], norms), t.column("asks").to_numpy()
+
+        def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            if rows:
+                place, asks = opened(rows)
+                yield from place.answer(own, place.ids[asks], place.x[asks], k, rerank, block)
 
-        held: list[pa.RecordBatch] = []
-        open_place = -1
+        held: list[pa.RecordBatch] = []  # items of the open place, until its first row that only asks
+        place: _Place | None = None
+        number = -1
         for batch in batches:
-            place = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
-            cuts = np.r_[0, np.flatnonzero(np.diff(place)) + 1, len(place)] if len(place) else np.zeros(1, np.int64)
+            key = batch.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)] if len(key) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if held and place[a] != open_place:
-                    yield from search(held)
-                    held = []
-                open_place = place[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from search(held)
-
-    rows = assigned.repartition("cell", "side").sortWithinPartitions("cell", "side")
+                part = batch.slice(a, b - a)
+                if key[a] >> 1 != number:
+                    yield from close(held)
+                    held, place, number = [], None, key[a] >> 1
+                if not key[a] & 1:
+                    held.append(part)
+                    continue
+                yield from close(held)
+                held = []
+                if place:  # else nothing lies here
+                    yield from place.answer(own, part.column(2).to_numpy(), _matrix(part.column(3), dim), k, rerank, block)
+        yield from close(held)
+
+    rows = assigned.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return rows.mapInArrow(run, "rep bigint, found binary")
 
 
@@ -289,7 +394,7 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return found.repartition("rep").sortWithinPartitions("rep").mapInArrow(run, "rep bigint, near bigint, score double")
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, probes: int = 5, cell: int = 400, rerank: int = 48, train: int = 50_000, cell_limit: int = 20_000) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, probes: int = 5, cell: int = 400, rerank: int = 48, train: int = 50_000, cell_limit: int = 20_000, query_limit: int = 200_000) -> DataFrame:
     """id, neighbor_id, score, place (from 1): for each usable vector its k most similar others by cosine.
 
     Equal vectors tie and the smaller id wins, also at the end of the list. With fewer than k other vectors there
@@ -304,9 +409,9 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, p
     reps = members.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     several = durable(reps.where("n > 1"))
     copies = members.join(several, "same")  # equal vectors; one of each class is indexed
-    index, sides = _train(vectors, n, dim, train, cell, cell_limit)
+    index, sides, blocks = _train(vectors, n, dim, train, cell, probes, cell_limit, query_limit)
     later = copies.where("id <> rep").select("id")
-    assigned = _assign(vectors.join(later, "id", "left_anti"), index, sides, dim, probes)
+    assigned = _assign(vectors.join(later, "id", "left_anti"), index, sides, blocks, dim, probes)
     near = _merge(_search(assigned, index, dim, k, rerank, 1024), k)
     # the smallest k + 1 ids of a class stand for it: one may be the asking vector itself
     place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
