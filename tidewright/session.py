@@ -49,10 +49,14 @@ def few(df: DataFrame, rows: int = 1_000_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def spread(df: DataFrame, keys: list[Column | str] | None = None, least: int = 1) -> DataFrame:
-    """Repartition to the session's shuffle width, for stages whose CPU work is large next to their bytes."""
-    n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+def widen(scan: DataFrame) -> DataFrame:
+    """A scan for stages whose CPU work is large next to their bytes: split as it is read, spread only where it has fewer splits than cores.
+
+    So large tables never shuffle their texts; their splits follow ``spark.sql.files.maxPartitionBytes``.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()  # planned, not run
+    return scan if splits >= cores else scan.repartition(cores)
 
 
 def tidy(name: str | Column) -> Column:
