@@ -19,7 +19,7 @@ def _df(spark, texts):
 def test_ids_equal_the_library_on_both_paths_and_decode_back(spark):
     own = _own()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc bigint, body string, ids string")
-    for bound in (48 << 20, 0):  # within the bound by look-up, beyond it by shuffle
+    for bound in (48 << 20, 400, 0):  # all words broadcast, only the frequent ones, none
         out = encode.encode(df, "doc", "body", table_bound=bound)
         got = {r["doc"]: r["ids"] for r in out.collect()}
         assert got == {i: own.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
@@ -27,6 +27,18 @@ def test_ids_equal_the_library_on_both_paths_and_decode_back(spark):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_frequent_words_are_broadcast_as_far_as_the_bound_goes(spark):
+    words = [" the"] * 5000 + [f" w{i}" for i in range(3000)] + [" often"] * 40
+    df = spark.createDataFrame([("".join(words[i::50]),) for i in range(50)], "text string").selectExpr("monotonically_increasing_id() AS doc", "text")
+    table = encode.word_table(encode.words(df, "doc", "text"), PATH)
+    least = encode._least(table, 500)
+    held = {r["word"] for r in table.where(f"n >= {least}").collect()}
+    assert " the" in held and len(held) < 20 and encode._least(table, 48 << 20) is None
+    own = _own()
+    want = {r["doc"]: own.encode_ordinary(r["text"]) for r in df.collect()}
+    assert {r["doc"]: r["ids"] for r in encode.encode(df, "doc", "text", table_bound=500).collect()} == want
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "null id")], "doc bigint, body string")
     for bound in (48 << 20, 0):

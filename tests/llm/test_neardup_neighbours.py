@@ -176,3 +176,16 @@ def test_near_cells_are_those_a_scan_finds():
     assert (got == want).all()
     one = neighbours.near_cells(x, index, 4, beam=1)
     assert ((one[:, 1] < 0) == (one[:, 0] == 3)).all()
+
+
+def test_groups_equal_their_sql_twin(spark):
+    import duckdb
+
+    from tidewright.llm import queries, sql
+
+    con = duckdb.connect()
+    for name in ("text_chunks", "cache_entries"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    want = sorted(con.execute(sql.ORACLE["p1_groups"]).fetchall())
+    got = sorted(tuple(r) for r in queries.p1_groups(spark, "/root/testdata/sf0.001").collect())
+    assert got == want and any(r[4] for r in got)

@@ -26,6 +26,14 @@ GOOD = "The router keeps a queue for each tenant and drains it in order."
         ("Why is the router so slow in the morning?", "Der Router ist am Morgen langsam, weil die Warteschlange voll ist.", ["other_language"]),
         ("Why is the router slow? Please reply in German.", "Der Router ist am Morgen langsam, weil die Warteschlange voll ist.", []),
         (None, GOOD, []),
+        ("Why is the router so slow in the early morning?", "Why is the router so slow in the ear", ["truncated", "copy"]),
+        ("Why is the router so slow in the early morning?", "Why is the router so slow in the early morning? Well, the", ["truncated", "copy"]),
+        ("Why is the router so slow in the early morning?", "Why is the router so slow in the early morning? " + GOOD, []),
+        ("Slow router?", "Роутер ждёт блокировки и поэтому медленный.", ["other_language"]),
+        ("Медленный роутер?", "Роутер ждёт блокировки и поэтому медленный.", []),
+        ("", "Роутер ждёт блокировки и поэтому медленный.", []),
+        ("Why is it slow?", "I cannot help with that because the", ["refusal", "truncated"]),
+        ("Why is it slow?", "The setting (see the docs is on.", ["truncated"]),
     ],
 )
 def test_defects(prompt, answer, want):
@@ -134,8 +142,15 @@ def test_restoring_short_stretches_inside_other_text(spark):
     word = "Словарь заменяет журнал"
     parts = {900: ("cp1251", "latin-1"), 901: ("koi8-r", "latin-1"), 902: ("cp866", "cp437")}
     text = lambda w: f'{{"level": "info", "component": "router", "cache": "miss", "retries": 3, "café": true, "title": "{w}"}}'
-    rows = _corpus() + [(i, text(word.encode(a).decode(b)), None) for i, (a, b) in parts.items()] + [(903, "Журнал".encode("cp1251").decode("latin-1")[:5] + " is full", None), (904, text(word), None)]
+    say = lambda w: f"The router wrote {w} to the log and went on."
+    rows = _corpus() + [(910, say("кэш".encode("koi8-r").decode("cp1251")), None), (911, say("東京の天気".encode("cp932").decode("cp1252")), "en")]
+    rows += [(i, text(word.encode(a).decode(b)), None) for i, (a, b) in parts.items()] + [(903, "Журнал".encode("cp1251").decode("latin-1")[:5] + " is full", None), (904, text(word), None)]
     out = {r["doc"]: (r["restored"], r["damaged"]) for r in mojibake.repair(spark.createDataFrame(rows, "doc bigint, body string, l string"), "doc", "body", "l").collect()}
     assert all(out[i] == (text(word), True) for i in parts)
+    # this corpus teaches no Japanese, so only the damage is sure; the right reading must be among the candidates
+    assert out[910][1] and out[911][1]
+    plain = mojibake.Restorer({}, frozenset())
+    for right, wrote, read in (("кэш", "koi8-r", "cp1251"), ("日本語", "euc-jp", "latin-1"), ("東京の天気", "cp932", "cp1252")):
+        assert say(right) in plain.candidates(say(right.encode(wrote).decode(read)))
     assert out[903] == ("Журна is full", True) and out[904] == (text(word), False)
     assert not any(out[i][1] for i, _, _ in _corpus())

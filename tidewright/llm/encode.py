@@ -2,9 +2,9 @@
 
 The texts are split into words in the JVM by the vocabulary's own pattern; BPE never crosses a word, so each
 distinct word is encoded once, on the executors, and the ids go back to every place of the word by a join.
-While the table's measured size is within ``table_bound`` bytes it is broadcast and joined by a vectorised
-lookup, and texts move only once, to spread them evenly; beyond it, places are joined by a shuffle by word and put
-together again by text.
+The most frequent words, as many as ``table_bound`` bytes hold, are broadcast and joined by a vectorised look-up where
+the texts lie. What that leaves, the places of rare words, is joined by a shuffle by word: no word of it is hot, as
+every hot word was among the broadcast ones. Texts are not moved.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import durable, spread
+from tidewright.session import durable, widen
 
 #: Fixed value: the public word pattern of the byte_bpe_50k vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,11 +36,11 @@ def words(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATTERN
     """``id`` and ``words``, the words of each text in order; none for null and empty texts."""
     split = F.regexp_extract_all(F.col("text"), F.lit(f"(?U){pattern}"), F.lit(0))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return spread(rows).select("id", split.alias("words"))
+    return widen(rows).select("id", split.alias("words"))
 
 
 def word_table(split: DataFrame, path: str, pattern: str = WORD_PATTERN) -> DataFrame:
-    """Distinct words with their ids: ``word``, ``ids``."""
+    """Distinct words with their ids and how often they occur: ``word``, ``n``, ``ids``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -48,11 +48,11 @@ def word_table(split: DataFrame, path: str, pattern: str = WORD_PATTERN) -> Data
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
         for batch in batches:
             ids = [own.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     # partial aggregation leaves one row per word and partition before the shuffle
-    distinct = split.select(F.explode("words").alias("word")).distinct()
-    return durable(distinct.mapInArrow(encode, "word string, ids array<int>"))
+    distinct = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return durable(distinct.mapInArrow(encode, "word string, n bigint, ids array<int>"))
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", pattern: str = WORD_PATTERN, table_bound: int = 48 << 20) -> DataFrame:
@@ -64,49 +64,93 @@ def encode(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZE
     path = os.path.join(tokenizers, f"{name}.tiktoken")
     split = words(df, id_col, text_col, pattern)
     table = word_table(split, path, pattern)
-    size = table.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 16)).first()[0] or 0
-    out = _look_up(split, table) if size <= table_bound else _join(split, table)
-    return out.withColumnRenamed("id", id_col)
+    least = _least(table, table_bound)
+    if least is None:
+        return _look_up(split, table).select(F.col("id").alias(id_col), "ids")
+    return _fill(_look_up(split, table.where(F.col("n") >= least)), table.where(F.col("n") < least)).withColumnRenamed("id", id_col)
+
+
+def _least(table: DataFrame, bound: int) -> int | None:
+    """How often a word must occur to be broadcast, so that these words take ``bound`` bytes at most; None if all do.
+
+    Word counts are told apart by their number of bits, so the driver gets some sixty rows.
+    """
+    sizes = F.sum(F.octet_length("word") + 4 * F.size("ids") + 16).alias("size")
+    rows = table.groupBy(F.length(F.bin("n")).alias("bits")).agg(sizes).orderBy(F.col("bits").desc()).collect()
+    held = 0
+    for r in rows:
+        held += r["size"]
+        if held > bound:
+            return 1 << r["bits"]
+    return None
 
 
 def _look_up(split: DataFrame, table: DataFrame) -> DataFrame:
-    """The join against a table of checked size, in Arrow's hash lookup."""
-    held = table.toArrow().combine_chunks()
+    """id, ids, gaps: the join against a table of checked size, in Arrow's hash look-up.
+
+    ``gaps`` has the words that the table lacks, each with the place in ``ids`` where its ids belong.
+    """
+    held = table.select("word", "ids").toArrow().combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, held.schema) as out:
         out.write_table(held)
     sent = split.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    gap = pa.struct([("at", pa.int32()), ("word", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = pa.ipc.open_stream(sent.value).read_all()
-        if not side.num_rows:
-            known, flat, length, first = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        else:
-            known, lists = side.column("word").combine_chunks(), side.column("ids").combine_chunks()
-            flat, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-            first = np.cumsum(length) - length
-        for batch in batches:
+        known, lists = (side.column(c).combine_chunks() if side.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+        flat, length = lists.flatten().to_numpy(), np.r_[lists.value_lengths().to_numpy().astype(np.int64), 0]
+        first = np.cumsum(length) - length
+
+        def found(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = batch.column(1)
-            at = pc.index_in(rows.flatten(), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+            each = rows.flatten()
+            at = pc.index_in(each, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
             n = length[at]
             into = np.cumsum(n) - n
             ids = flat[np.repeat(first[at] - into, n) + np.arange(n.sum())]
-            per_row = rows.value_lengths().to_numpy().astype(np.int64)
-            ends = np.r_[0, np.cumsum(n)][np.cumsum(per_row)]
-            out = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["id", "ids"])
-
-    return split.mapInArrow(run, f"id {dict(split.dtypes)['id']}, ids array<int>")
-
-
-def _join(split: DataFrame, table: DataFrame) -> DataFrame:
-    """The join as a shuffle by word, for tables beyond the bound; equal rows are encoded once and repeated."""
-    rows = split.groupBy("id", "words").agg(F.count("*").alias("copies"))
-    places = rows.select("id", "copies", F.xxhash64("words").alias("text"), F.posexplode("words").alias("pos", "word"))
-    back = places.join(table, "word").groupBy("id", "copies", "text").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    empty = rows.where(F.size("words") == 0).select("id", "copies", F.lit(None).cast("array<int>").alias("ids"))
-    full = back.select("id", "copies", F.flatten(F.col("x.ids")).alias("ids")).unionByName(empty)
-    return full.select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+            stop = np.cumsum(rows.value_lengths().to_numpy().astype(np.int64))  # each row's last word
+            ends = np.r_[0, np.r_[0, np.cumsum(n)][stop]]
+            out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            lacking = np.flatnonzero(at == len(known))
+            place = into[lacking] - ends[np.searchsorted(stop, lacking, side="right")]
+            pairs = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), each.take(pa.array(lacking))], fields=list(gap))
+            gaps = pa.ListArray.from_arrays(pa.array(np.r_[0, np.searchsorted(lacking, stop)].astype(np.int32)), pairs)
+            return pa.RecordBatch.from_arrays([batch.column(0), out, gaps], ["id", "ids", "gaps"])
+
+        # the look-up hashes the whole table each time, so batches are put together until they have more words than it
+        waiting, count = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            count += len(batch.column(1).flatten())
+            if count >= len(known):
+                yield from map(found, pa.Table.from_batches(waiting).combine_chunks().to_batches())
+                waiting, count = [], 0
+        if waiting:
+            yield from map(found, pa.Table.from_batches(waiting).combine_chunks().to_batches())
+
+    return split.mapInArrow(run, f"id {dict(split.dtypes)['id']}, ids array<int>, gaps array<struct<at:int,word:string>>")
+
+
+def _fill(looked: DataFrame, table: DataFrame) -> DataFrame:
+    """Puts the ids of rare words into their gaps; rows without gaps take no part in the joins."""
+    rows = durable(looked.withColumn("row", F.monotonically_increasing_id()))
+    # gaps of one place keep their order; a text's gaps come together in one row, as its words did
+    places = rows.select("row", F.posexplode("gaps").alias("i", "gap")).select("row", "i", "gap.at", "gap.word")
+    back = places.join(table.select("word", F.col("ids").alias("own")), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "at", "own"))).alias("fill"))
+    full = rows.where(F.size("gaps") > 0).select("row", "id", "ids").join(back, "row").select("id", "ids", F.col("fill.at").alias("at"), F.col("fill.own").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, at, own in zip(batch.column(1), batch.column(2), batch.column(3)):
+                n = own.values.value_lengths().to_numpy()
+                out.append(np.insert(ids.values.to_numpy(), np.repeat(at.values.to_numpy(), n), own.values.flatten().to_numpy()))
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out, np.zeros(0, np.int32)]), pa.int32()))], ["id", "ids"])
+
+    return rows.where(F.size("gaps") == 0).select("id", "ids").unionByName(full.mapInArrow(run, f"id {dict(looked.dtypes)['id']}, ids array<int>"))
 
 
 def pieces(spark, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:

@@ -29,7 +29,7 @@ F4 = np.float32
 CENTRE_BYTES = 64 << 20
 #: Vectors that fit a cell's centre, and cells under one top centre at most.
 PER_CELL, CELLS_OF_TOP = 16, 4096
-BEAM = 6
+BEAM = 8
 
 
 @dataclass
@@ -394,7 +394,7 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return found.repartition("rep").sortWithinPartitions("rep").mapInArrow(run, "rep bigint, near bigint, score double")
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, probes: int = 5, cell: int = 400, rerank: int = 48, train: int = 50_000, cell_limit: int = 20_000, query_limit: int = 200_000) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, probes: int = 6, cell: int = 400, rerank: int = 48, train: int = 50_000, cell_limit: int = 20_000, query_limit: int = 200_000) -> DataFrame:
     """id, neighbor_id, score, place (from 1): for each usable vector its k most similar others by cosine.
 
     Equal vectors tie and the smaller id wins, also at the end of the list. With fewer than k other vectors there

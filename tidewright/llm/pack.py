@@ -9,11 +9,15 @@ their length; ranks are counted in salted buckets, so a length that a third of a
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Items of one length that one task ranks, and the fewest buckets.
+OF_BUCKET, BUCKETS = 500_000, 64
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -50,9 +54,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def _ranked(items: DataFrame) -> DataFrame:
+def _ranked(items: DataFrame, buckets: int) -> DataFrame:
     """Rank from 0 within the length: rank in a salted bucket plus the sizes of the buckets before it."""
-    salted = items.withColumn("bucket", F.pmod(F.xxhash64("id", "part"), F.lit(BUCKETS)).cast("int"))
+    salted = items.withColumn("bucket", F.pmod(F.xxhash64("id", "part"), F.lit(buckets)).cast("int"))
     sizes = salted.groupBy("size", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")
     offsets = sizes.select("size", "bucket", before.alias("before"))
@@ -77,23 +81,27 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int = 2048) -> Dat
     sized = cut.select("id", "part", size.cast("int").alias("size"))
     some = sized.where("size > 0")
     counts = {r["size"]: r["n"] for r in some.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    slots = _slots(spark, plan(counts, capacity))
-    into = F.col("rank") - F.col("first_rank")
-    placed = (
-        _ranked(some)
-        .join(F.broadcast(slots), "size")  # a few slots for each of at most `capacity` lengths
-        .where((F.col("rank") >= F.col("first_rank")) & (into < F.col("ranks")))
-        .select(
-            "id",
-            "part",
-            (F.col("first_container") + F.floor(into / F.col("per_container"))).cast("bigint").alias("container"),
-            (F.col("offset") + F.pmod(into, F.col("per_container")) * F.col("size")).cast("int").alias("position"),
-            "size",
-        )
-    )
+    ranked = _ranked(some, max(BUCKETS, max(counts.values(), default=0) // OF_BUCKET))
+    placed = ranked.mapInArrow(_place(spark, plan(counts, capacity)), f"id {dict(items.dtypes)['id']}, part int, container bigint, position int, size int")
     none = sized.where("size <= 0").select("id", "part", F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("position"), F.lit(0).alias("size"))
     return placed.unionByName(none).withColumnRenamed("id", id_col)
 
 
-def _slots(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "size int, first_rank bigint, ranks bigint, first_container bigint, per_container int, offset int")
+def _place(spark: SparkSession, rows: list[tuple[int, int, int, int, int, int]]):
+    """Looks up each item's slot by length and rank; a few slots for each of at most ``capacity`` lengths are broadcast."""
+    slots = np.array(rows, np.int64).reshape(-1, 6)
+    slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
+    sent = spark.sparkContext.broadcast(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, first, _, container, per, offset = sent.value.T
+        starts = length.astype(np.uint64) << np.uint64(40) | first.astype(np.uint64)
+        for batch in batches:
+            size, rank = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            at = np.searchsorted(starts, size.astype(np.uint64) << np.uint64(40) | rank.astype(np.uint64), side="right") - 1
+            into = rank - first[at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(container[at] + into // per[at]), pa.array((offset[at] + into % per[at] * size).astype(np.int32)), batch.column(2)], ["id", "part", "container", "position", "size"]
+            )
+
+    return run

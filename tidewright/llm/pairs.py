@@ -7,9 +7,10 @@ order, so that the first one can stand for the pair.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ LANGUAGE_NAMES = {
 REFUSALS = (
     r"\bi (?:really |simply |just )?(?:can(?:not|['’]?t| not)|won['’]?t|will not|am (?:not able|unable)|['’]?m (?:not able|unable|not allowed|not permitted)|am not (?:allowed|permitted)|must not|may not|could not|couldn['’]t|do not|don['’]t) (?:be able to |wish to |want to |feel (?:able|comfortable) )?(?:to )?(?:\w+ )?(?:help|assist|provide|answer|discuss|comply|fulfil|do that|talk|describe|explain|share|comment|respond|support|offer|give|say|go into|continue|process|engage)",
     r"\b(?:i (?:have|need|must|will have|am going) (?:to )?(?:\w+ )?(?:decline|refuse|pass on)|i must (?:\w+ )?(?:decline|refuse|pass)|i (?:\w+ )?(?:decline|refuse) to|i would rather not|i['’]d rather not|i prefer not to)\b",
-    r"\byou will have to ask (?:someone|somebody) else\b", r"\bmy (?:guidelines|rules|instructions|policies|policy) (?:do not|don['’]t|does not|prevent|forbid|prohibit)", r"\bnot be appropriate for me to\b",
+    r"\b(?:ask|contact|consult|find|try) (?:someone|somebody|anyone) else\b", r"\bmy (?:guidelines|rules|instructions|policies|policy) (?:do not|don['’]t|does not|prevent|forbid|prohibit)", r"\bnot be appropriate for me to\b",
     r"\boutside (?:of )?(?:what i am allowed|my|the scope)", r"\b(?:against|not permitted by|prohibited by) my (?:guidelines|rules|policy)", r"\bas an ai(?: language model)?,? i (?:can|am|do)",
     r"\bkann ich (?:\w+ ){0,4}nicht (?:\w+ )?(?:helfen|beantworten|weiterhelfen|antworten|eingehen|unterstützen|besprechen)", r"\bich kann (?:\w+ ){0,6}(?:nicht|keine?n?) (?:\w+ ){0,3}(?:helfen|beantworten|antworten|geben|weiterhelfen|eingehen|unterstützen|besprechen)",
     r"\bich darf (?:\w+ ){0,4}(?:keine?n?|nicht)\b", r"\bich muss (?:\w+ ){0,6}ablehnen", r"\bich möchte (?:\w+ )?(?:lieber )?nicht\b", r"\b(?:vorgaben|richtlinien|regeln) (?:lassen|erlauben|verbieten|untersagen|gestatten)", r"\bnicht in der lage\b", r"\bbitte (?:fragen|wenden) sie (?:sich )?(?:an )?jemand(?:en)? ander", r"\bmuss ich (?:\w+ ){0,6}(?:ablehnen|passen)\b", r"\b(?:lehne|weigere) ich\b|\bich (?:lehne|weigere)\b",
@@ -67,7 +68,11 @@ LABELS = r"(?:q|a|question|prompt|user|human|input|task|query|request|frage|aufg
 _KANA, _HAN = regex.compile(r"[\p{Hiragana}\p{Katakana}]"), regex.compile(r"\p{Han}")
 _SCRIPTS = {k: regex.compile(rf"\p{{{v}}}") for k, v in {"ru": "Cyrillic", "ar": "Arabic", "he": "Hebrew", "ko": "Hangul", "el": "Greek", "hi": "Devanagari"}.items()}
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _name, _words in FUNCTION_WORDS.items():
+    for _w in set(_words):
+        _LANGUAGES_OF.setdefault(_w, []).append(_name)
+_NOT_ALNUM = re.compile(r"[\W_]+")
 _ASKED = {k: regex.compile(rf"(?<!\p{{L}})(?:{v})(?!\p{{L}})", regex.I) for k, v in LANGUAGE_NAMES.items()}
 _ORDERS = regex.compile(r"(?<!\p{L})(?:translat\w*|reply|answer|respond|write|übersetz\w*|antwort\w*|schreib\w*|tradui\w*|répond\w*|écri\w*|traduc\w*|traduz\w*|respond\w*|escrib\w*|escrev\w*|ответ\w*|перевед\w*|翻訳|答え)", regex.I)
 _REFUSAL = regex.compile("|".join(REFUSALS), regex.I)
@@ -79,6 +84,7 @@ _MARKUP = regex.compile(r"```[\w+-]*|<[^<>]{1,40}>")
 _CODE = regex.compile(r"(?s)```.*?(?:```|$)")
 _ITEM = regex.compile(r"^\s*(?:[-*•+–]|\d+[.)])\s+\S")
 _END = regex.compile(r"[.!?。！？…][\s\"'”’»)\]*_`›]*$")
+_LATIN, _OTHER_LETTER = regex.compile(r"\p{Latin}{2}"), regex.compile(r"[\p{L}--\p{Latin}]", regex.V1)
 _SHORT = regex.compile(r"^(?:[\p{Sc}+-]?\s?\d[\d\s.,:/%-]*\s*[\p{L}%°\p{Sc}]{0,12}|yes|no|ja|nein|oui|non|sí|si|sim|não|да|нет|はい|いいえ|true|false|none|ok|okay|maybe)$", regex.I)
 
 
@@ -103,15 +109,17 @@ def language(text: str) -> str | None:
         for name, script in _SCRIPTS.items():
             if len(script.findall(text)) * 2 > letters > 0:
                 return name
-    words = [w.lower().replace("’", "'") for w in _WORD.findall(text)]
-    words = [x for w in words for x in (w.split("'") if "'" in w else (w,))]
-    score = {k: sum(w in s for w in words) for k, s in _SETS.items()}
+    score = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in _WORD.findall(text.lower().replace("’", "'")):
+        for x in w.split("'") if "'" in w else (w,):
+            for k in _LANGUAGES_OF.get(x, ()):
+                score[k] += 1
     first, second = sorted(score, key=lambda k: -score[k])[:2]
     return first if score[first] >= 2 and score[first] > score[second] else None
 
 
 def _bare(text: str) -> str:
-    return "".join(c for c in _MARKUP.sub(" ", text).casefold() if c.isalnum())
+    return _NOT_ALNUM.sub("", _MARKUP.sub(" ", text).casefold())
 
 
 def is_copy(prompt: str, answer: str) -> bool:
@@ -126,13 +134,26 @@ def is_copy(prompt: str, answer: str) -> bool:
     return False
 
 
+def is_copied_part(prompt: str, answer: str) -> bool:
+    """Most of the prompt from its start and nothing else, or the whole prompt and hardly anything more."""
+    own, got = _bare(prompt), _bare(_LABEL.sub("", answer))
+    if len(got) <= len(own):
+        return 2 * len(got) > len(own) and len(own) >= 12 and own.startswith(got)
+    return len(own) >= 12 and 5 * (len(got) - len(own)) <= len(own) and got.startswith(own)
+
+
 def is_refusal(answer: str) -> bool:
     """Every sentence declines or is a courtesy, and one declines."""
     # what is quoted is spoken of, not said
     parts = [p.strip(" \t*_>#-") for p in _SENTENCE.split(_QUOTED.sub(" ", _MARKUP.sub(" ", answer)).strip())]
     parts = [p for p in parts if any(c.isalnum() for c in p)]
-    refused = [bool(_REFUSAL.search(p)) for p in parts]
-    return any(refused) and all(r or _CLOSER.search(p) for r, p in zip(refused, parts))
+    refused = False
+    for p in parts:
+        if _REFUSAL.search(p):
+            refused = True
+        elif not _CLOSER.search(p):
+            return False
+    return refused
 
 
 def is_open(answer: str) -> bool:
@@ -190,11 +211,18 @@ def breaks_off(answer: str) -> bool:
     return is_open(answer) or last in ",;([{" or last.isalpha() and words[-1].lower() in DANGLING
 
 
+#: Languages of one script, as far as texts without enough function words can tell.
+_SCRIPT_OF = {"ja": "cjk", "zh": "cjk", **{k: k for k in _SCRIPTS}}
+
+
 def is_other_language(prompt: str, answer: str) -> bool:
-    """In a language that is neither the prompt's nor one that the prompt asks for."""
+    """In a language or a script that is neither the prompt's nor one that the prompt asks for."""
     got, own = language(answer), language(prompt)
-    if got is None or own is None or got == own:
+    if got == own or got is None:
         return False
+    if own is None:  # too few words for the language: the scripts must differ
+        if _SCRIPT_OF.get(got) is None or not _LATIN.search(prompt) or _OTHER_LETTER.search(prompt):
+            return False
     rx = _ASKED.get(got)
     return not (rx and rx.search(prompt) and _ORDERS.search(prompt))
 
@@ -214,7 +242,10 @@ def defects(prompt: str | None, answer: str | None) -> list[str]:
         "truncated": breaks_off(answer) if copy else is_truncated(answer),
         "other_language": is_other_language(prompt, answer),
     }
-    return [d for d in ORDER if fired.get(d)]
+    out = [d for d in ORDER if fired.get(d)]
+    if fired["truncated"] and not copy and is_copied_part(prompt, answer):
+        out.append("copy")  # a copy that breaks off: first of all it is truncated
+    return out
 
 
 def completions(df: DataFrame) -> DataFrame:
@@ -231,16 +262,19 @@ def runs(df: DataFrame) -> DataFrame:
 
 
 def judge(pairs: DataFrame) -> DataFrame:
-    """source, pair_id, defect, place (0 for a pair's first defect): one row per defect of each distinct pair.
+    """source, pair_id, defect, place (0 for a pair's first defect): one row per defect of each pair.
 
     ``pairs`` has source, pair_id, prompt and answer. Null prompts are empty ones, null answers are ``empty``.
     Exact copies of a pair count once; extra columns are ignored; pairs without defect give no row.
     """
-    once = pairs.select("source", "pair_id", "prompt", "answer").dropDuplicates()
+    rows = pairs.select("source", "pair_id", "prompt", "answer")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(s, i, d, n) for s, i, p, a in pdf.itertuples(index=False) for n, d in enumerate(defects(p, a))]
-            yield pd.DataFrame(rows, columns=["source", "pair_id", "defect", "place"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [defects(p, a) for p, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            row = pa.array([i for i, own in enumerate(every) for _ in own], pa.int32())
+            kinds, places = pa.array([d for own in every for d in own], pa.string()), pa.array([n for own in every for n in range(len(own))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), kinds, places], ["source", "pair_id", "defect", "place"])
 
-    return once.mapInPandas(run, f"source string, pair_id {dict(once.dtypes)['pair_id']}, defect string, place int")
+    found = rows.mapInArrow(run, f"source string, pair_id {dict(rows.dtypes)['pair_id']}, defect string, place int")
+    return found.dropDuplicates()  # copies of a pair; texts are not moved

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import encode, mojibake, neardup, neighbours, pack, pairs, pii, quantiles, split, topn
-from tidewright.session import durable, spread, table
+from tidewright.session import durable, table, widen
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -36,8 +36,8 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     """All defects of each pair, in the order of the rules."""
-    chats = pairs.completions(table(spark, d, "chat_completions", "completion_id", "messages", "choices"))
-    agents = pairs.runs(table(spark, d, "agent_runs", "run_id", "task", "final_answer"))
+    chats = pairs.completions(widen(table(spark, d, "chat_completions", "completion_id", "messages", "choices")))
+    agents = pairs.runs(widen(table(spark, d, "agent_runs", "run_id", "task", "final_answer")))
     both = chats.select(F.lit("chat_completions").alias("source"), "*").unionByName(agents.select(F.lit("agent_runs").alias("source"), "*"))
     return pairs.judge(both)
 
@@ -108,8 +108,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    """Each message once; the table repeats some rows as a whole."""
-    return spread(table(spark, d, "chat_messages", "message_id", "content").dropDuplicates(["message_id", "content"]))
+    return widen(table(spark, d, "chat_messages", "message_id", "content"))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +127,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p8_ids_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same with 64 KB of words broadcast, so that the others go through the join."""
+    return encode.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table_bound=64 << 10)
+
+
+def p8_decoded_joined(spark: SparkSession, d: str) -> DataFrame:
+    return encode.decode(p8_ids_joined(spark, d), "doc_id", encode.pieces(spark))
+
+
 def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode.decode(p8_ids(spark, d), "doc_id", encode.pieces(spark))
 
@@ -145,4 +153,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).where("damaged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_decoded, p9_packed, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_ids_joined, p8_decoded, p8_decoded_joined, p9_packed, p10_found, p10_restored)}

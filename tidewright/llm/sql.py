@@ -32,6 +32,20 @@ SELECT '{source}' AS source, vec_id, neighbor_id FROM (
 
 _CALLS = "SELECT model AS part, CASE WHEN model = (SELECT model FROM embed_results WHERE dimensions = 96 LIMIT 1) THEN 96 ELSE 64 END AS dim, unnest(vec_ids) AS id, unnest(embeddings) AS vec FROM embed_results"
 
+def _grouped(source: str, key: str, text: str) -> str:
+    """Classes of equal sets of triples, links between them, and groups as what a recursion reaches."""
+    return rf"""
+SELECT '{source}' AS source, id, class_id, group_id, links FROM (
+  WITH RECURSIVE w AS (SELECT {key} AS id, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+') AS w FROM {source} WHERE {text} IS NOT NULL),
+  s AS MATERIALIZED (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 3),
+  k AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM s),
+  t AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS g FROM s WHERE id IN (SELECT class_id FROM k)),
+  e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM t a JOIN t b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)),
+  r AS (SELECT class_id AS u, class_id AS v FROM k UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+  SELECT k.id, k.class_id, g.group_id, coalesce(l.links, 0) AS links FROM k JOIN (SELECT u, min(v) AS group_id FROM r GROUP BY u) g ON g.u = k.class_id
+  LEFT JOIN (SELECT u, count(*) AS links FROM e GROUP BY u) l ON l.u = k.class_id)"""
+
+
 _RANK = "list_sort(list(value))[CAST(ceil({q}::DOUBLE * (count(*) - 1) + 0.5) AS BIGINT)] AS {name}"
 # Nearest-rank percentiles: what summaries answer, with half a rank of error, while no group has more values than a
 # summary keeps (2,000), as at the size that the twins are compared at.
@@ -43,6 +57,7 @@ SELECT provider, model, metric, count(*) AS n, 0.5::DOUBLE AS rank_error, {", ".
 ORACLE = {
     "p5_percentiles": _PERCENTILES,
     "p1_found": _near("text_chunks", "chunk_id", "text") + " UNION ALL " + _near("cache_entries", "entry_id", "key"),
+    "p1_groups": _grouped("text_chunks", "chunk_id", "text") + " UNION ALL " + _grouped("cache_entries", "entry_id", "key"),
     "p3_found": " UNION ALL ".join(
         [
             _nearest("text_chunks", "SELECT 0 AS part, chunk_id AS id, embedding AS vec FROM text_chunks", "64"),
@@ -56,5 +71,5 @@ SELECT chunk_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '
 FROM text_chunks WHERE length(text) > 1200""",
     "p6_topn": P6,
     "p6_found": f"SELECT query_id, chunk_id FROM ({P6})",
-    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    **dict.fromkeys(("p8_decoded", "p8_decoded_joined"), "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
 }
