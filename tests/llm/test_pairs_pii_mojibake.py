@@ -86,33 +86,70 @@ SOUND = "Order 88-05-840 was cached. Build 2.3.20 answers in 522 ms on 10.0.220.
 
 
 def test_pii_items_by_type_and_nothing_in_look_alikes():
-    p = pii.Patterns(frozenset({"grace", "miles", "rose", "will"}))
+    p = pii.Patterns(frozenset({"grace", "miles", "rose", "will"}))  # "penhaligan" is known, so no cue is needed
     assert [(k, TEXT[a:b]) for a, b, k in pii.find(p, TEXT, frozenset({"penhaligan"}))] == WANT
     assert pii.find(p, SOUND, frozenset({"penhaligan"})) == []
 
 
+def _known(spark, given=(), family=(), full=()):
+    return spark.createDataFrame([(k, w) for k, own in (("given", given), ("family", family), ("full", full)) for w in own], "kind string, word string")
+
+
 def test_redaction_keeps_coreference_distinctness_and_the_rest(spark):
-    names = spark.createDataFrame([("Grace",), ("Miles",)], "given_name string")
-    rows = [(1, TEXT), (2, "Please ask for Grace Penhaligan. Please ask for PENHALIGAN, GRACE. Please ask for Miles Thornquay."), (3, None), (4, ""), (5, SOUND), (5, SOUND), (6, "My mobile is 555-0101. " * 2000)]
+    rows = [(1, TEXT), (2, "Please ask for Grace Penhaligan. Please ask for PENHALIGAN, GRACE. Please ask for Miles Thornquay. Please ask for Mrs Penhaligan."), (3, None), (4, ""), (5, SOUND), (5, SOUND), (6, "My mobile is 555-0101. " * 2000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "m bigint, body string, id string")
-    found = pii.detect(df, "m", "body", names, family=frozenset({"penhaligan", "thornquay"}))
-    out = {r["m"]: r for r in pii.redact(df, "m", "body", found).collect()}
+    known = _known(spark, ("grace", "miles"), ("penhaligan", "thornquay"))
+    found = pii.detect(df, "m", "body", known)
+    out = {r["m"]: r for r in pii.redact(df, "m", "body", found, b"secret").collect()}
     assert out[3]["placeholders"] is None and out[4]["surrogates"] == "" and out[5]["surrogates"] == SOUND
     assert out[1]["placeholders"].startswith("My name is [NAME]. Write to [EMAIL] or [EMAIL]. Call me on [PHONE].")
     assert out[6]["placeholders"].count("[PHONE]") == 2000
     one = out[1]["surrogates"].split("My name is ")[1].split(". Write")[0]
-    same, turned, other = (x.split(".")[0] for x in out[2]["surrogates"].split("Please ask for ")[1:])
+    same, turned, other, alone = (x.split(".")[0] for x in out[2]["surrogates"].split("Please ask for ")[1:])
     first, last = one.split()
-    assert same == one and turned == f"{last}, {first}".upper() and other != one
-    assert pii.detect(df.where("false"), "m", "body", names).count() == 0
+    assert same == one and turned == f"{last}, {first}".upper() and other.split()[0] != first and other.split()[1] != last and alone == f"Mrs {last}"
+    assert first in pii.GIVEN["latin", "f"] and other.split()[0] in pii.GIVEN["latin", "m"]
+    assert pii.detect(df.where("false"), "m", "body", known).count() == 0
+    with pytest.raises(ValueError):
+        pii.redact(df, "m", "body", found, b"")
+
+
+def test_names_are_learned_and_joined_alike_whatever_their_number(spark):
+    rows = [(i, f"My name is {g} Harroway.") for i, g in enumerate(("Grace", "Tadeo", "Priya"))] + [
+        (10, "Sveta Harroway signed. Mira Castelmor did not."), (11, "This is Kofi Ilverne. Later Kofi Ilverne left, and Ilverne said so."), (12, "Grace Quill and Miles Quill came; Anna Quill too."),
+        (13, "Will Sonnet Large load? Will Rose dashboards?"), (14, "Please contact Grace Velmont or contact Support Team."), (15, None), (16, ""),
+    ]
+    df = spark.createDataFrame(rows, "m bigint, body string")
+    names = spark.createDataFrame([("Grace",), ("Miles",), ("Will",), ("Rose",), (" ",), (None,)], "given_name string")
+    got = [sorted((r["m"], r["value"]) for r in pii.items(df, "m", "body", names, bound=b).where("pii_type = 'name'").collect()) for b in (300_000, 0)]
+    assert got[0] == got[1]
+    assert got[0] == [
+        (0, "Grace Harroway"), (1, "Tadeo Harroway"), (2, "Priya Harroway"), (10, "Sveta Harroway"), (11, "Kofi Ilverne"), (11, "Kofi Ilverne"), (12, "Anna Quill"), (12, "Grace Quill"), (12, "Miles Quill"), (14, "Grace Velmont"),
+    ]
+
+
+def test_surrogates_keep_type_and_format():
+    made = lambda kind, value, title="", key=b"k": pii.rendered(kind, value, [pii.surrogate(k, e, h, key) for k, e, h in pii.parts_of(kind, value, title)])
+    assert made("phone", "+49 30 1234567").startswith("+49 ") and made("phone", "0044 (0)20 79460192").startswith("0044 (0)") and made("phone", "020 7946 0192")[0] == "0"
+    assert made("phone", "+49 30 1234567") == made("phone", "+49-30-1234567").replace("-", " ") != made("phone", "+49 30 1234567", key=b"other")
+    assert pii.regex.fullmatch(r"[A-Z]\d{7}-[A-Z]", made("id_number", "X1234567-L"))
+    one, two = made("email", "ann@post.example"), made("email", "bob (at) post (dot) example")
+    assert one.split("@")[1] == two.split(" (at) ")[1].replace(" (dot) ", ".")
+    f, m, n = made("name", "Carmen Diaz").split()[0], made("name", "Luca Diaz").split()[0], made("name", "Sorrel Diaz").split()[0]
+    assert f in pii.GIVEN["latin", "f"] and m in pii.GIVEN["latin", "m"] and n in pii.GIVEN["latin", ""]
+    assert made("name", "Luca Diaz", "frau").split()[0] in pii.GIVEN["latin", "f"]
+    assert made("name", "Ines van der Luyk").split()[1:3] == ["van", "der"] and made("name", "Иван Ильин").split()[0] in pii.GIVEN["cyrillic", "m"]
+    assert made("address", "Flat 3, 126 Tern Gate Road").endswith(" Gate Road") and made("address", "Sperberallee 30").split()[0].endswith("allee")
 
 
 def test_surrogates_that_collide_move_on(spark, monkeypatch):
-    monkeypatch.setattr(pii, "SYLLABLES", ("ba",))
-    monkeypatch.setattr(pii, "GIVEN_M", ("Emil", "Ivo"))
-    monkeypatch.setattr(pii, "GIVEN_F", ("Mira", "Orla"))
-    draw = {pii.surrogate("phone", f"555-010{i}", f"555010{i}", "", b"k", a) for i in range(3) for a in range(2)}
-    assert len(draw) == 6  # another attempt gives another surrogate
+    rows = [(i, "name", 0, 9, f"{g} Nadia", "", True) for i, g in enumerate(("Tadeo", "Sorrel", "Kofi", "Ewa", "Dagny", "Yannis", "Robin", "Kim", "Brunhild", "Maida", "Orlo"))]
+    rows += [(i, "phone", 0, 8, f"555-01{i:02}", "", True) for i in range(60)]
+    found = spark.createDataFrame(rows, pii.FOUND.format(kind="bigint"))
+    made = pii.surrogates(found, b"k").collect()
+    entities = {(r["kind"], r["entity"]) for r in made}
+    assert len({(r["kind"], r["made"].lower()) for r in made}) == len(made) == 11 + 1 + 60
+    assert not {(r["kind"], r["made"].lower()) for r in made} & entities
 
 
 BAD = "La mÃ©trique conserve la mÃ©moire pendant la nuit, cÃ´tÃ© serveur."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,8 +121,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_items(spark, d).select("message_id", "pii_type", "start_char")
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The secret of the surrogates: the session's ``spark.tidewright.pii.key``; without one they differ on each run."""
+    return spark.conf.get("spark.tidewright.pii.key", "").encode() or secrets.token_bytes(32)
+
+
 def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(_messages(spark, d), "message_id", "content", durable(p7_items(spark, d)))
+    return pii.redact(_messages(spark, d), "message_id", "content", durable(p7_items(spark, d)), _key(spark))
+
+
+def p7_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of replaced part: how many surrogates are shared by two entities, and how many are entities of the corpus (none)."""
+    made = durable(pii.surrogates(durable(p7_items(spark, d)), _key(spark)).where("kind <> 'particle' AND NOT (kind = 'given' AND length(entity) = 1)"))
+    low = made.select("kind", "entity", F.lower("made").alias("made"))
+    shared = low.groupBy("kind").agg((F.count("*") - F.countDistinct("made")).alias("shared"))
+    real = low.select("kind", "made").join(low.select("kind", F.col("entity").alias("made")), ["kind", "made"], "left_semi").groupBy("kind").agg(F.count("*").alias("real"))
+    return shared.join(real, "kind", "left").select("kind", "shared", F.coalesce("real", F.lit(0)).cast("bigint").alias("real"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -153,4 +169,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).where("damaged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p8_ids, p8_ids_joined, p8_decoded, p8_decoded_joined, p9_packed, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p7_distinct, p8_ids, p8_ids_joined, p8_decoded, p8_decoded_joined, p9_packed, p10_found, p10_restored)}

@@ -69,6 +69,7 @@ ORACLE = {
 SELECT chunk_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}。！？]'), lambda x: length(x))) > 1200
   THEN 'forced' ELSE 'natural' END AS cut
 FROM text_chunks WHERE length(text) > 1200""",
+    "p7_distinct": "SELECT unnest(['address', 'domain', 'family', 'given', 'id_number', 'phone', 'user']) AS kind, 0::BIGINT AS shared, 0::BIGINT AS real",
     "p6_topn": P6,
     "p6_found": f"SELECT query_id, chunk_id FROM ({P6})",
     **dict.fromkeys(("p8_decoded", "p8_decoded_joined"), "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
