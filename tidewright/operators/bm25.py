@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import search_tokens
-from tidewright.session import durable, few
+from tidewright.session import durable, few, first
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,18 +56,21 @@ def score(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k1: f
     """The same straight from texts, for one batch of queries (query_id, query).
 
     Words are matched with the asked terms where the texts are read, so the shuffle carries matches, not the corpus;
-    the matches are kept, as document frequencies and scores both need them.
+    the matches are kept, as document frequencies and scores both need them. Each text also gives one row without a
+    term, from which the corpus statistics come, so texts are read and split once.
     """
     asked, is_few = _asked(queries)
     tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(text_col).alias("t"))
-    # explode_outer: for explode, the optimizer would filter empty lists first and so split every text twice
-    rows = tokens.select("doc_id", F.size("t").alias("doc_len"), F.explode_outer("t").alias("term"))
-    tf = durable(_only(rows, asked, is_few).groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf")))
-    return _rank(tf, corpus_stats(docs, id_col, text_col), asked, is_few, k1, b)
+    # a text's own row is the null term that explode_outer would give for an empty list anyway
+    rows = tokens.select("doc_id", F.size("t").alias("doc_len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
+    terms = asked.select("term", F.lit(True).alias("wanted")).distinct()
+    met = rows.join(F.broadcast(terms) if is_few else terms, "term", "left").where("wanted OR term IS NULL")
+    kept = durable(met.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf")))
+    stats = kept.where("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    return _rank(kept.where("term IS NOT NULL"), stats, asked, is_few, k1, b)
 
 
 def top(scored: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """The first k per query by score, then doc_id, of those above 0 (and not below ``least``); rank from 0."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    ranked = first(scored.where("score > 0"), ["query_id"], [F.col("score").desc(), "doc_id"], k)
     return ranked.where(F.col("score") >= least) if least is not None else ranked

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import first
+
 QUERY_BLOCK = 20_000
 
 
@@ -28,6 +30,8 @@ def dense_top(items: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> Da
     """
     spark = items.sparkSession
     numbered = queries.select("query_id", "vec")
+    if dict(items.dtypes)["item_id"] != "bigint" or dict(queries.dtypes)["query_id"] != "bigint":
+        raise ValueError("item_id and query_id must be bigint")
     blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
@@ -39,25 +43,37 @@ def dense_top(items: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> Da
         sent = spark.sparkContext.broadcast((ids, x, np.linalg.norm(x, axis=1)))
         found = items.select("item_id", "vec").mapInArrow(_search(sent, dim, k), "query_id bigint, item_id bigint, score double")
         out = out.unionByName(found) if out else found
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return first(out, ["query_id"], [F.col("score").desc(), "item_id"], k)
+
 
+def _search(sent, dim: int, k: int, block: int = 512):
+    """A task's best k items of each query; scores stand for ``block`` queries and one Arrow batch of items at a time."""
 
-def _search(sent, dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, qn = sent.value
-        best_i = np.zeros((len(ids), 0), np.int64)
-        best_s = np.zeros((len(ids), 0))
+        row, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bar = np.zeros(len(ids))  # what an item must reach to be among a query's best so far
         for batch in batches:
-            rows, x = _vectors(batch.column(1), dim)
-            if not len(rows) or not len(ids):
+            right, x = _vectors(batch.column(1), dim)
+            if not len(right) or not len(ids):
                 continue
-            s = (q @ x.T) / (qn[:, None] * np.linalg.norm(x, axis=1) + 1e-8)
-            i = np.broadcast_to(batch.column(0).to_numpy()[rows], s.shape)
-            s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1)
-            order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        good = best_s > 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(1))), pa.array(best_i[good]), pa.array(best_s[good])], ["query_id", "item_id", "score"])
+            own, xn = batch.column(0).to_numpy()[right], np.linalg.norm(x, axis=1)
+            rows, items, scores = [row], [item], [score]
+            for at in range(0, len(ids), block):
+                s = np.round((q[at : at + block] @ x.T) / (qn[at : at + block, None] * xn + 1e-8), 12)
+                least = bar[at : at + block]
+                if s.shape[1] > k:
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                r, c = np.nonzero((s >= least[:, None]) & (s > 0))
+                rows.append(r + at)
+                items.append(own[c])
+                scores.append(s[r, c])
+            row, item, score = np.concatenate(rows), np.concatenate(items), np.concatenate(scores)
+            order = np.lexsort((item, -score, row))
+            row, item, score = row[order], item[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            bar[row[place == k - 1]] = score[place == k - 1]
+            row, item, score = row[place < k], item[place < k], score[place < k]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(item), pa.array(score)], ["query_id", "item_id", "score"])
 
     return run

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.session import first
+
 
 def _both(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     d = dense.select("query_id", "item_id", F.col("score").alias("d_score"), F.col("rank").alias("d_rank"))
@@ -17,8 +19,7 @@ def _both(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 
 
 def _first(fused: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "item_id")
-    return fused.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return first(fused, ["query_id"], [F.round("score", 12).desc(), "item_id"], k)
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int, c: int = 60) -> DataFrame:
@@ -56,8 +57,7 @@ def rerank(cands: DataFrame, k: int, how: str = "minmax", least: float | None =
     w = Window.partitionBy("query_id")
     new = {"minmax": minmax, "softmax": softmax}[how](F.col("score"), w) if how != "none" else F.col("score")
     scored = cands.withColumn("rerank_score", new)
-    order = Window.partitionBy("query_id").orderBy(F.round("rerank_score", 12).desc(), "rank", "item_id")
-    out = scored.withColumn("new_rank", F.row_number().over(order) - 1).where(F.col("new_rank") < k)
+    out = first(scored, ["query_id"], [F.round("rerank_score", 12).desc(), "rank", "item_id"], k, "new_rank")
     out = out.where(F.col("rerank_score") >= least) if least is not None else out
     return out.select("query_id", "item_id", "score", F.col("rank").alias("original_rank"), "rerank_score", "new_rank")
 
@@ -86,23 +86,55 @@ def mmr(cands: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
     rows = cands.select("query_id", "item_id", "rank", minmax(F.col("score"), w).alias("relevance"), "vec")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "item_id"]).reset_index(drop=True)
         rel = pdf["relevance"].to_numpy(float)
         dim = max((len(v) for v in pdf["vec"] if v is not None), default=0)
         x = np.array([np.zeros(dim) if v is None or len(v) != dim else np.asarray(v, float) for v in pdf["vec"]]).reshape(len(pdf), dim)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
         left, near, chosen = np.ones(len(pdf), bool), np.zeros(len(pdf)), []
         for _ in range(min(k, len(pdf))):
-            value = np.where(left, trade * rel - (1 - trade) * near, -np.inf)
-            at = int(np.argmax(value))
+            at = int(np.argmax(np.where(left, np.round(trade * rel - (1 - trade) * near, 12), -np.inf)))
             near = x @ x[at] if not chosen else np.maximum(near, x @ x[at])
             chosen.append(at)
             left[at] = False
-        out = pdf.loc[chosen, ["query_id", "item_id", "relevance"]].copy()
+        out = pdf.iloc[chosen][["query_id", "item_id", "relevance"]].copy()
         out["new_rank"] = np.arange(len(chosen), dtype=np.int32)
         return out
 
-    return rows.groupBy("query_id").applyInPandas(pick, f"query_id {dict(rows.dtypes)['query_id']}, item_id {dict(rows.dtypes)['item_id']}, relevance double, new_rank int")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the query that the batch before ended in
+        for pdf in parts:
+            pdf = pd.concat([held, pdf]) if held is not None else pdf
+            if not len(pdf):
+                continue
+            open_ = pdf["query_id"] == pdf["query_id"].iloc[-1]
+            held, whole = pdf[open_], pdf[~open_]
+            if len(whole):
+                yield pd.concat([pick(own) for _, own in whole.groupby("query_id", sort=False)])
+        if held is not None and len(held):
+            yield pick(held)
+
+    ordered = rows.repartition("query_id").sortWithinPartitions("query_id", "rank", "item_id")
+    return ordered.mapInPandas(run, f"query_id {dict(rows.dtypes)['query_id']}, item_id {dict(rows.dtypes)['item_id']}, relevance double, new_rank int")
+
+
+def judged(cands: DataFrame, replies: Column, k: int, most: int = 20) -> DataFrame:
+    """Candidates reranked by a judge's replies: the first ``most`` by rank are asked, a reply without a number leaves the own score.
+
+    query_id, item_id, rerank_score, new_rank; ties keep the order of rank.
+    """
+    asked = first(cands, ["query_id"], ["rank", "item_id"], most, "place").withColumn("rerank_score", F.coalesce(judge_score(replies), F.col("score")))
+    return first(asked, ["query_id"], [F.col("rerank_score").desc(), "rank", "item_id"], k, "new_rank").select("query_id", "item_id", "rerank_score", "new_rank")
+
+
+def cross_encoded(cands: DataFrame, model: Callable[[list[str], list[str]], list[float]], k: int, chars: int = 1000) -> DataFrame:
+    """Candidates (query_id, query, item_id, text, rank) reranked by a model of pairs, called with a batch of queries and texts of up to ``chars`` characters."""
+
+    @F.pandas_udf("double")
+    def scored(query: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(model(query.tolist(), text.tolist()), dtype=float)
+
+    rows = cands.withColumn("rerank_score", scored(F.coalesce("query", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, chars)))
+    return first(rows, ["query_id"], [F.col("rerank_score").desc(), "rank", "item_id"], k, "new_rank").select("query_id", "item_id", "rerank_score", "new_rank")
 
 
 def judge_score(reply: Column) -> Column:

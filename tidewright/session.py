@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local folder is made.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the session is one machine's, as
+    in tests, a local folder is made; on a cluster a missing setting is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewright-"))
     return df.checkpoint(eager=True)
 
@@ -59,6 +61,16 @@ def widen(scan: DataFrame) -> DataFrame:
     return scan if splits >= cores else scan.repartition(cores)
 
 
+def first(rows: DataFrame, by: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:
+    """The first k rows of each group in an order, numbered from 0.
+
+    The number is compared as the window gives it, so that the optimizer cuts groups before and after the shuffle
+    (WindowGroupLimit) instead of sorting all their rows.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
+
+
 def tidy(name: str | Column) -> Column:
     """A double with -0.0 folded into 0.0; NaN and null become null."""
     c = F.col(name) if isinstance(name, str) else name
