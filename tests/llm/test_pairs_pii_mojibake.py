@@ -117,6 +117,7 @@ def test_redaction_keeps_coreference_distinctness_and_the_rest(spark):
 def test_names_are_learned_and_joined_alike_whatever_their_number(spark):
     rows = [(i, f"My name is {g} Harroway.") for i, g in enumerate(("Grace", "Tadeo", "Priya"))] + [
         (10, "Sveta Harroway signed. Mira Castelmor did not."), (11, "This is Kofi Ilverne. Later Kofi Ilverne left, and Ilverne said so."), (12, "Grace Quill and Miles Quill came; Anna Quill too."),
+        (20, "Call Grace Order it now"), (21, "Call Miles Order it now"), (22, "Call Rose Order it now"), *((30 + i, "An order is an order.") for i in range(8)),
         (13, "Will Sonnet Large load? Will Rose dashboards?"), (14, "Please contact Grace Velmont or contact Support Team."), (15, None), (16, ""),
     ]
     df = spark.createDataFrame(rows, "m bigint, body string")

@@ -432,27 +432,36 @@ def listed(names: DataFrame, name_col: str = "given_name") -> DataFrame:
     return own.select(F.lit("given").alias("kind"), "word")
 
 
-def knowledge(found: DataFrame, least: int = 3, givens: int = 2) -> DataFrame:
+def knowledge(found: DataFrame, texts: DataFrame, least: int = 3, givens: int = 2, share: float = 0.2) -> DataFrame:
     """kind, word: the family names and full names that the mentions of a first pass teach, counted over all texts in Spark.
 
     A last word is a family name if it ended at least ``least`` cued names of two words behind which no word followed, or
     stood behind at least ``givens`` different listed given names. One such cued mention is enough for its full name.
+    In any case such mentions must be a ``share`` of all times that the texts (id, text) have the word, in whatever case:
+    a common word that now and then follows a name doesn't become one, however large the corpus is.
     """
     plain = F.regexp_replace("value", r"^(.+), (.+)$", "$2 $1")
-    parts = found.where("pii_type IN ('name', 'pair') AND bounded").select("pii_type", _folded(plain).alias("v"))
+    parts = found.where("pii_type IN ('name', 'pair') AND bounded").select("pii_type", F.lower(plain).alias("v"))
     part = lambda i: F.regexp_extract("v", r"^([\p{L}.'’-]+)\s+(?:.*\s)?(\p{L}[\p{L}'’-]+)$", i)
-    two = parts.select("pii_type", part(1).alias("given"), part(2).alias("family")).where("family <> ''")
+    two = parts.select("pii_type", part(1).alias("given"), part(2).alias("family")).where((F.col("family") != "") & ~F.col("family").isin(*PARTICLES))
     # partly aggregated by both words first: the shuffle carries distinct pairs
-    pairs = durable(two.groupBy("family", "given").agg(F.sum(F.when(F.col("pii_type") == "name", 1).otherwise(0)).alias("cued"), F.max(F.col("pii_type") == "pair").alias("pair")))
-    family = pairs.groupBy("family").agg(F.sum("cued").alias("n"), F.sum(F.col("pair").cast("int")).alias("givens")).where((F.col("n") >= least) | (F.col("givens") >= givens))
-    full = pairs.where("cued > 0 AND length(given) > 2").select(F.lit("full").alias("kind"), F.concat_ws(" ", "given", "family").alias("word"))
-    return family.select(F.lit("family").alias("kind"), F.col("family").alias("word")).unionByName(full)
+    some = lambda k: F.sum(F.when(F.col("pii_type") == k, 1).otherwise(0))
+    pairs = durable(two.groupBy("family", "given").agg(some("name").alias("cued"), some("pair").alias("paired")))
+    sums = pairs.groupBy("family").agg(F.sum("cued").alias("cued"), F.sum("paired").alias("paired"), F.sum((F.col("paired") > 0).cast("int")).alias("givens"))
+    wanted = durable(sums)
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}'’-]*"), F.lit(0))).alias("family"))
+    listed_ = wanted.select("family")
+    total = words.join(F.broadcast(listed_) if few(listed_) else listed_, "family", "left_semi").groupBy("family").agg(F.count("*").alias("total"))
+    good = durable(wanted.join(total, "family").where(F.greatest("cued", "paired") >= share * F.col("total")))
+    family = good.where((F.col("cued") >= least) | (F.col("givens") >= givens)).select(F.lit("family").alias("kind"), _folded(F.col("family")).alias("word"))
+    known = pairs.where("cued > 0 AND length(given) > 2").join(good.select("family"), "family", "left_semi")
+    return family.unionByName(known.select(F.lit("full").alias("kind"), _folded(F.concat_ws(" ", "given", "family")).alias("word"))).distinct()
 
 
 def items(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str = "given_name", bound: int = 300_000) -> DataFrame:
     """Detection in two passes: names that cues give away teach the names by which others are known. Copies of a row give their items once."""
     given = durable(listed(names, name_col))
-    taught = durable(knowledge(detect(df, id_col, text_col, given, bound, names_only=True)))
+    taught = durable(knowledge(detect(df, id_col, text_col, given, bound, names_only=True), _texts(df, id_col, text_col)))
     return detect(df, id_col, text_col, given.unionByName(taught), bound).dropDuplicates([id_col, "pii_type", "start_char", "end_char", "value"])
 
 
