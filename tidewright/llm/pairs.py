@@ -96,9 +96,24 @@ _DELIMITER = regex.compile("[" + regex.escape("".join(sorted({*_OPENERS, *_CLOSE
 _NO_OPENER = regex.compile(r"`[^`\n]*`|\\.|(?<!\w)[:;=]-?[(\[{]|[\[(][^\[\]()\n]{1,20}[,;][^\[\]()\n]{1,20}[\])]|(?<=\d)\"(?=\s|[x×.,;)]|$)")
 
 
-def language(text: str) -> str | None:
-    """The language a text is most clearly in: by script, else by function words; None if it can't be told."""
-    text = _MARKUP.sub(" ", _CODE.sub(" ", text))
+#: Words of which every refusal in a Latin script has one.
+_REFUSAL_WORDS = frozenset(
+    "i my me else outside against ai ich vorgaben richtlinien regeln lage jemand jemanden je ne m décliner refuser quelqu no mis rechazar declinar negarme prefiero preferiría niego não minhas recusar prefiro preferia recuso".split()
+)
+
+
+def _words(text: str) -> list[str]:
+    """Lower-case words, cut at apostrophes."""
+    return [x for w in _WORD.findall(text.lower().replace("’", "'")) for x in (w.split("'") if "'" in w else (w,))]
+
+
+def language(text: str, words: list[str] | None = None) -> str | None:
+    """The language a text is most clearly in: by script, else by function words; None if it can't be told.
+
+    ``words`` are those of the text, if the caller has them.
+    """
+    if "`" in text or "<" in text:
+        text, words = _MARKUP.sub(" ", _CODE.sub(" ", text)), None
     if not text:
         return None
     if max(text) > "\u036f":  # letters of another script than Latin, or mere signs
@@ -110,10 +125,9 @@ def language(text: str) -> str | None:
             if len(script.findall(text)) * 2 > letters > 0:
                 return name
     score = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in _WORD.findall(text.lower().replace("’", "'")):
-        for x in w.split("'") if "'" in w else (w,):
-            for k in _LANGUAGES_OF.get(x, ()):
-                score[k] += 1
+    for w in _words(text) if words is None else words:
+        for k in _LANGUAGES_OF.get(w, ()):
+            score[k] += 1
     first, second = sorted(score, key=lambda k: -score[k])[:2]
     return first if score[first] >= 2 and score[first] > score[second] else None
 
@@ -215,9 +229,10 @@ def breaks_off(answer: str) -> bool:
 _SCRIPT_OF = {"ja": "cjk", "zh": "cjk", **{k: k for k in _SCRIPTS}}
 
 
-def is_other_language(prompt: str, answer: str) -> bool:
+def is_other_language(prompt: str, answer: str, words: list[str] | None = None) -> bool:
     """In a language or a script that is neither the prompt's nor one that the prompt asks for."""
-    got, own = language(answer), language(prompt)
+    got = language(answer, words)
+    own = language(prompt) if got else None
     if got == own or got is None:
         return False
     if own is None:  # too few words for the language: the scripts must differ
@@ -236,11 +251,13 @@ def defects(prompt: str | None, answer: str | None) -> list[str]:
         return ["empty", "truncated"] if answer and is_open(answer) else ["empty"]
     prompt = prompt or ""
     copy = is_copy(prompt, answer)
+    words = _words(answer)
+    latin = not words or max(words) < "\u0370"
     fired = {
         "copy": copy,
-        "refusal": is_refusal(answer),
+        "refusal": not (latin and _REFUSAL_WORDS.isdisjoint(words)) and is_refusal(answer),
         "truncated": breaks_off(answer) if copy else is_truncated(answer),
-        "other_language": is_other_language(prompt, answer),
+        "other_language": is_other_language(prompt, answer, words),
     }
     out = [d for d in ORDER if fired.get(d)]
     if fired["truncated"] and not copy and is_copied_part(prompt, answer):
