@@ -61,7 +61,12 @@ def text_length(text: Column | str) -> Column:
 
 def message_text(messages: Column | str) -> Column:
     """The contents of a list of messages, joined by a space."""
-    return F.array_join(F.transform(_c(messages), lambda m: m["content"]), " ")
+    return F.array_join(F.transform(_c(messages), lambda m: F.coalesce(m["content"], F.lit(""))), " ")
+
+
+def parts_text(contents: Column | str) -> Column:
+    """The texts of contents that are lists of parts (type, text), joined by a space; parts without a text count as empty."""
+    return F.array_join(F.transform(F.flatten(_c(contents)), lambda p: F.coalesce(p["text"], F.lit(""))), " ")
 
 
 def sentences(text: Column | str) -> Column:

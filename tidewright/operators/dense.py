@@ -22,8 +22,8 @@ def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return right[fine], x[fine]
 
 
-def dense_top(items: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> DataFrame:
-    """query_id, item_id, score, rank (from 0): the k items of highest cosine above 0 of each query.
+def dense_top(items: DataFrame, queries: DataFrame, dim: int, k: int = 10, above: float = 0.0) -> DataFrame:
+    """query_id, item_id, score, rank (from 0): the k items of highest cosine ``above`` a bound of each query.
 
     ``items`` has item_id and vec, ``queries`` query_id and vec. Queries go out in blocks of 20,000 vectors, so the
     broadcast has a bound; each partition keeps k items per query before the shuffle.
@@ -41,18 +41,18 @@ def dense_top(items: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> Da
         rows, x = _vectors(column, dim)
         ids = held.column("query_id").to_numpy()[rows] if held.num_rows else np.zeros(0, np.int64)
         sent = spark.sparkContext.broadcast((ids, x, np.linalg.norm(x, axis=1)))
-        found = items.select("item_id", "vec").mapInArrow(_search(sent, dim, k), "query_id bigint, item_id bigint, score double")
+        found = items.select("item_id", "vec").mapInArrow(_search(sent, dim, k, above), "query_id bigint, item_id bigint, score double")
         out = out.unionByName(found) if out else found
     return first(out, ["query_id"], [F.col("score").desc(), "item_id"], k)
 
 
-def _search(sent, dim: int, k: int, block: int = 512):
+def _search(sent, dim: int, k: int, above: float, block: int = 512):
     """A task's best k items of each query; scores stand for ``block`` queries and one Arrow batch of items at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, qn = sent.value
         row, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        bar = np.zeros(len(ids))  # what an item must reach to be among a query's best so far
+        bar = np.full(len(ids), -np.inf)  # what an item must reach to be among a query's best so far
         for batch in batches:
             right, x = _vectors(batch.column(1), dim)
             if not len(right) or not len(ids):
@@ -64,7 +64,7 @@ def _search(sent, dim: int, k: int, block: int = 512):
                 least = bar[at : at + block]
                 if s.shape[1] > k:
                     least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-                r, c = np.nonzero((s >= least[:, None]) & (s > 0))
+                r, c = np.nonzero((s >= least[:, None]) & (s > above))
                 rows.append(r + at)
                 items.append(own[c])
                 scores.append(s[r, c])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,10 @@ from pyspark.sql import functions as F
 from tidewright.functions.vectors import dot, norm
 
 
+#: Words as the built-in pattern sees them: only ASCII white space parts them.
+_PLAIN = re.compile(r"[^ \t\n\r\f\x0b]+")
+
+
 def cache_key(model: str, text: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{model}:"), text).cast("binary"))
 
@@ -36,6 +43,20 @@ def embed_cached(df: DataFrame, id_col: str, text_col: str, embed: Callable[[lis
     return rows.select("id", "key").join(cache, "key", "left").select("id", "key", "embedding"), cache
 
 
+def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key no known row has."""
+    return rows.join(known.select(key).distinct(), key, "left_anti")
+
+
+def hash_words(texts: list[str], dim: int = 128) -> list[list[float]]:
+    """An embedder for tests and baselines: counts of hashed words as a unit vector."""
+    out = []
+    for t in texts:
+        v = np.bincount([md5(w.encode("utf-8", "surrogatepass")).digest()[-1] % dim for w in _PLAIN.findall(t.lower())], minlength=dim).astype(float)
+        out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
+    return out
+
+
 def cache_stats(df: DataFrame, text_col: str) -> DataFrame:
     """One row: lookups, texts that had to be embedded, and hits over those (which can exceed 1)."""
     out = df.where(F.col(text_col).isNotNull()).agg(F.count("*").alias("lookups"), F.countDistinct(text_col).alias("embedded"))

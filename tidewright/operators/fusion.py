@@ -92,7 +92,7 @@ def mmr(cands: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
         left, near, chosen = np.ones(len(pdf), bool), np.zeros(len(pdf)), []
         for _ in range(min(k, len(pdf))):
-            at = int(np.argmax(np.where(left, np.round(trade * rel - (1 - trade) * near, 12), -np.inf)))
+            at = int(np.argmax(np.where(left, np.round(trade * rel - (1 - trade) * near, 9), -np.inf)))
             near = x @ x[at] if not chosen else np.maximum(near, x @ x[at])
             chosen.append(at)
             left[at] = False

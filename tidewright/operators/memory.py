@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import eval_tokens, keyword_share
-from tidewright.functions.vectors import cosine, doubles
+from tidewright.operators.dense import dense_top
 from tidewright.operators.state import expired
+from tidewright.session import first
 
 ORDER = ("turn", "message_id")
 
@@ -63,19 +64,22 @@ def search_words(memories: DataFrame, query: str, k: int = 10) -> DataFrame:
     """The k memories that share most of the query's words: memory_id, score, rank (score 0 is kept)."""
     text = F.concat_ws(" ", "key", "value")
     scored = memories.select("memory_id", F.round(keyword_share(F.lit(query), text), 12).alias("score"))
-    first = scored.orderBy(F.col("score").desc(), "memory_id").limit(k)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "memory_id")) - 1)
-
-
-def search_vector(memories: DataFrame, vec: list[float], k: int = 10) -> DataFrame:
-    """The k memories most similar to one vector; memories without a vector of its length score 0."""
-    q = F.array(*[F.lit(float(x)) for x in vec])
-    v = doubles(F.col("embedding"))
-    clean = F.transform(v, lambda x: F.when(F.isnan(x) | x.isNull(), F.lit(0.0)).otherwise(x))
-    s = F.when(F.size("embedding") == len(vec), cosine(clean, q)).otherwise(F.lit(0.0))
-    scored = memories.select("memory_id", F.round(s, 9).alias("score"))
-    first = scored.orderBy(F.col("score").desc(), "memory_id").limit(k)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "memory_id")) - 1)
+    best = scored.orderBy(F.col("score").desc(), "memory_id").limit(k)  # k rows, numbered in one task
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "memory_id")) - 1)
+
+
+def search_vectors(memories: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> DataFrame:
+    """query_id, memory_id, score, rank: the k memories most similar to each query (query_id, vec), in blocks of queries.
+
+    Memories without a usable vector of that length score 0, and scores of 0 and below are kept.
+    """
+    items = memories.select(F.col("memory_id").alias("item_id"), F.col("embedding").alias("vec"))
+    near = dense_top(items, queries, dim, k, above=-2.0).select("query_id", F.col("item_id").alias("memory_id"), F.round("score", 9).alias("score"))
+    zero = F.coalesce((F.size("vec") != dim) | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vec", lambda x: x != 0), F.lit(True))
+    blank = items.where(zero).orderBy("item_id").limit(k).select(F.col("item_id").alias("memory_id"))  # no more of them can be among the first k
+    asked = queries.where(~zero).select("query_id")
+    rest = asked.crossJoin(F.broadcast(blank)).withColumn("score", F.lit(0.0))
+    return first(near.unionByName(rest.select("query_id", "memory_id", "score")), ["query_id"], [F.col("score").desc(), "memory_id"], k)
 
 
 def episodes(memories: DataFrame, query: str, as_of: Column, k: int = 10) -> DataFrame:

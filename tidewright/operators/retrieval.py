@@ -13,6 +13,16 @@ from tidewright.session import first
 MODES = ("dense", "sparse", "hybrid", "hybrid_rrf", "hybrid_weighted")
 
 
+def matches(metadata: Column, wanted: dict[str, object]) -> Column:
+    """Whether a map of strings has every wanted value; a list means any of its values, a missing key fails."""
+    out = F.lit(True)
+    for key, value in wanted.items():
+        x = F.try_element_at(metadata, F.lit(key))
+        own = x.isin(*value) if isinstance(value, (list, tuple, set)) else x == value
+        out = out & F.coalesce(own, F.lit(False))
+    return out
+
+
 def _dense(docs: DataFrame, queries: DataFrame, dim: int, k: int, keep: Column | None) -> DataFrame:
     items = docs.where(keep) if keep is not None else docs  # filters stand before the cut
     return dense.dense_top(items.select(F.col("doc_id").alias("item_id"), "vec"), queries.select("query_id", "vec"), dim, k)

@@ -8,33 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.functions.text import eval_tokens, exact_form
+from tidewright.functions.text import eval_tokens, exact_form, ngrams
 from tidewright.functions.vectors import dot, word_embedding
 
 METRICS = ("bleu", "rouge1", "rouge2", "rouge_l", "semantic", "exact_match", "f1")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _overlap(cand: pd.Series, ref: pd.Series) -> pd.Series:
-    """For n = 1 to 4: clipped matches and number of the candidate's n-grams, then the numbers of distinct n-grams of both."""
+def _overlap(c: Column, r: Column) -> Column:
+    """For n = 1 to 4: clipped matches and number of the candidate's n-grams, then the numbers of distinct n-grams of both.
+
+    A gram counts as often as both sides have it: numbered among its equals, it is a distinct item, and items can be intersected.
+    """
+
+    def numbered(grams: Column) -> Column:
+        kinds = F.array_sort(grams)
+        # in sorted order equals stand together, so an item's number is its distance from the first of them
+        return F.transform(kinds, lambda g, i: F.concat(g, F.lit("\0"), (i - F.array_position(kinds, g)).cast("string")))
+
     out = []
-    for c, r in zip(cand, ref):
-        row = []
-        for n in range(1, 5):
-            a = list(zip(*[list(c)[i:] for i in range(n)]))
-            b = list(zip(*[list(r)[i:] for i in range(n)]))
-            counts: dict[tuple, int] = {}
-            for g in b:
-                counts[g] = counts.get(g, 0) + 1
-            distinct = len(counts)
-            clipped = 0
-            for g in a:
-                if counts.get(g, 0) > 0:
-                    counts[g] -= 1
-                    clipped += 1
-            row += [clipped, len(a), len(set(a)), distinct]
-        out.append(row)
-    return pd.Series(out)
+    for n in range(1, 5):
+        a, b = ngrams(c, n), ngrams(r, n)
+        out += [F.size(F.array_intersect(numbered(a), numbered(b))), F.size(a), F.size(F.array_distinct(a)), F.size(F.array_distinct(b))]
+    return F.array(*out)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -103,7 +98,7 @@ def score(pairs: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
     rows = pairs.select("pair_id", "candidate", "reference", eval_tokens("candidate").alias("c"), eval_tokens("reference").alias("r"))
-    rows = rows.withColumn("o", _overlap("c", "r"))
+    rows = rows.withColumn("o", _overlap(F.col("c"), F.col("r")))
     made = {
         "bleu": lambda: bleu(F.col("o"), F.col("c"), F.col("r")),
         "rouge1": lambda: rouge_n(F.col("o"), 1),
@@ -123,6 +118,13 @@ def _rouge_l() -> Column:
     return _f(_ratio(lcs, F.size("c")), _ratio(lcs, F.size("r")))
 
 
+def zipped(lists: DataFrame, id_col: str, candidates: str, references: str) -> DataFrame:
+    """id, position (from 0), candidate, reference: two lists paired by position up to the shorter one; null lists give none."""
+    n = F.least(F.size(candidates), F.size(references))
+    each = lists.where(F.coalesce(n, F.lit(0)) > 0).select(id_col, F.posexplode(F.arrays_zip(F.slice(candidates, F.lit(1), n).alias("candidate"), F.slice(references, F.lit(1), n).alias("reference"))).alias("position", "x"))
+    return each.select(id_col, "position", "x.candidate", "x.reference")
+
+
 def aggregate(scored: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """metric, mean, low, high, std (sample; 0 for one row), n."""
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("s")

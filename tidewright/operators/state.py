@@ -3,6 +3,7 @@ task with a small state; keys are spread by hash. A single cache or bucket is on
 
 from __future__ import annotations
 
+import heapq
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -155,16 +156,21 @@ def semantic_cache(ops: DataFrame, cache: str, least: float = 0.92, recent: int
 def bounded_memory(ops: DataFrame, store: str, capacity: int) -> DataFrame:
     """Upserts (store, epoch, op_id, key, importance) into a store that evicts the least important, oldest first: the evicted key."""
 
-    def step(held: OrderedDict, row):
-        held.pop(row.key, None)
-        held[row.key] = row.importance
+    def step(store_: tuple, row):
+        # a heap of (importance, number of the write); what was written over since is passed by
+        held, heap, n = store_
+        held[row.key] = (row.importance, n)
+        heapq.heappush(heap, (row.importance, n, row.key))
         evicted = None
         if len(held) > capacity:
-            evicted = min(held, key=held.get)
-            del held[evicted]
-        return held, (evicted,)
+            while True:
+                importance, at, evicted = heapq.heappop(heap)
+                if held.get(evicted) == (importance, at):
+                    del held[evicted]
+                    break
+        return (held, heap, n + 1), (evicted,)
 
-    return fold(ops.select(store, "epoch", "op_id", "key", "importance"), [store], ["epoch", "op_id"], OrderedDict, step, "evicted string")
+    return fold(ops.select(store, "epoch", "op_id", "key", "importance"), [store], ["epoch", "op_id"], lambda: ({}, [], 0), step, "evicted string")
 
 
 def expired(created: Column, ttl: Column, as_of: Column) -> Column:
@@ -172,11 +178,33 @@ def expired(created: Column, ttl: Column, as_of: Column) -> Column:
     return F.coalesce((F.unix_micros(as_of) - F.unix_micros(created)) / 1e6 > ttl, F.lit(False))
 
 
-def cache_key(messages: Column, model: Column, how: str = "exact") -> Column:
-    """sha256 of what makes two requests equal: all of it, its squashed lower-case text, or its structure."""
+def slots(events: DataFrame, key: str, most: int) -> DataFrame:
+    """Requests (epoch, request_id, done) of a key that find fewer than ``most`` others running are admitted and hold a slot until ``done``."""
+
+    def step(busy: list, row):
+        while busy and busy[0] <= row.epoch:
+            heapq.heappop(busy)
+        ok = len(busy) < most
+        if ok:
+            heapq.heappush(busy, row.done)
+        return busy, (ok,)
+
+    return fold(events.select(key, "epoch", "request_id", "done"), [key], ["epoch", "request_id"], list, step, "admitted boolean")
+
+
+def cache_key(messages: Column, model: Column, how: str = "exact", temperature: Column | None = None, max_tokens: Column | None = None, custom: Callable[[Column, Column], Column] | None = None) -> Column:
+    """sha256 of what makes two requests equal: all of it, its squashed lower-case text, its structure, or a caller's own.
+
+    Temperature and max_tokens count for exact and normalized keys; what isn't given counts as 0.7 and 1024. ``custom``
+    makes a column of messages and model that is hashed instead.
+    """
+    if custom is not None:
+        return F.sha2(F.to_json(F.struct(custom(messages, model).alias("c"))), 256)
     role = F.transform(messages, lambda m: m["role"])
     text = F.transform(messages, lambda m: m["content"])
     if how == "normalized":
         text = F.transform(text, lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")))
-    parts = {"exact": [model, role, text], "normalized": [model, role, text], "structure": [model, role, F.size(messages)]}[how]
+    heat = F.coalesce(temperature if temperature is not None else F.lit(None).cast("double"), F.lit(0.7))
+    most = F.coalesce(max_tokens if max_tokens is not None else F.lit(None).cast("int"), F.lit(1024))
+    parts = {"exact": [model, role, text, heat, most], "normalized": [model, role, text, heat, most], "structure": [model, role, F.size(messages)]}[how]
     return F.sha2(F.to_json(F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)])), 256)

@@ -6,6 +6,7 @@ import ast
 import math
 import operator
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,6 +65,50 @@ def react(reply: Column) -> Column:
     )
 
 
+def current_time(hours: Column, as_of: Column | None = None) -> Column:
+    """Now (or ``as_of``) plus some hours, in ISO form; the label stays that of UTC."""
+    now = F.current_timestamp() if as_of is None else as_of
+    return F.date_format(F.timestamp_micros(F.unix_micros(now) + hours.cast("bigint") * 3_600_000_000), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+@dataclass(frozen=True)
+class Param:
+    """What a tool asks of one argument."""
+
+    name: str
+    required: bool = False
+    number: bool = False
+    one_of: tuple[str, ...] = ()
+
+
+def argument_errors(args: Column, params: list[Param]) -> Column:
+    """What is wrong with a call's arguments (a map of strings), in the order of the parameters; nothing for a sound call.
+
+    Numbers may come as strings; arguments that no parameter names are let through.
+    """
+    out = []
+    for p in params:
+        x = F.try_element_at(args, F.lit(p.name))
+        wrong = F.when(x.isNull(), F.lit(f"missing: {p.name}") if p.required else F.lit(None))
+        if p.number:
+            wrong = wrong.when(x.isNotNull() & x.try_cast("double").isNull(), F.lit(f"no number: {p.name}"))
+        if p.one_of:
+            wrong = wrong.when(x.isNotNull() & ~x.isin(*p.one_of), F.lit(f"not one of: {p.name}"))
+        out.append(wrong)
+    return F.filter(F.array(*out), lambda e: e.isNotNull())
+
+
+def execution_stats(calls: DataFrame, by: str) -> DataFrame:
+    """Calls, successes and failures (column ``ok``) of each tool, and two rates.
+
+    ``counted_rate`` is over calls as they are counted, which is on success only; ``success_rate`` over all.
+    """
+    good = F.sum(F.when(F.col("ok"), 1).otherwise(0)).cast("bigint")
+    return calls.groupBy(by).agg(F.count("*").alias("calls"), good.alias("successes"), (F.count("*") - good).alias("failures")).select(
+        "*", F.when(F.col("successes") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("counted_rate"), F.round(F.col("successes") / F.col("calls"), 6).alias("success_rate")
+    )
+
+
 def search_tools(tools: DataFrame, text: str | None = None, tag: str | None = None, category: str | None = None) -> DataFrame:
     """Tools whose name or description has the text (in any case), that carry the tag and are of the category."""
     out = tools
@@ -88,11 +133,11 @@ def best_agent(tasks: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def step_totals(runs: DataFrame) -> DataFrame:
-    """Per run: number of steps, tokens of all steps, actions taken."""
+    """Per run: number of steps, tokens of all steps, actions taken; zeros for a run without steps."""
+    steps = F.coalesce("steps", F.array().cast(dict(runs.dtypes)["steps"]))
     return runs.select(
-        "run_id", F.size(F.coalesce("steps", F.array().cast(dict(runs.dtypes)["steps"]))).alias("n_steps"),
-        F.aggregate(F.transform("steps", lambda s: F.coalesce(s["tokens_used"], F.lit(0))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"),
-        F.size(F.filter("steps", lambda s: s["action"].isNotNull())).alias("actions"),
+        "run_id", F.size(steps).alias("n_steps"), F.aggregate(F.transform(steps, lambda s: F.coalesce(s["tokens_used"], F.lit(0))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"),
+        F.size(F.filter(steps, lambda s: s["action"].isNotNull())).alias("actions"),
     )
 
 

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.functions import vectors as V
-from tidewright.operators import bm25, chunking, dense, embedding, fusion, memory, scoring, state, telemetry, tools
+from tidewright.operators import bm25, chunking, dense, embedding, fusion, memory, retrieval, scoring, state, telemetry, tools
 from tidewright.session import table
-from tidewright.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -257,12 +256,6 @@ def rerank_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return _reranked(fusion.pipeline(_cands(spark, d), [("minmax", 20), ("minmax", 5)], 5))
 
 
-@query()
-def mmr(spark: SparkSession, d: str) -> DataFrame:
-    vec = table(spark, d, "text_chunks", F.col("chunk_id").alias("item_id"), F.col("embedding").alias("vec"))
-    return fusion.mmr(_cands(spark, d).join(vec, "item_id", "left"), 10)
-
-
 @query(
     r"""SELECT run_id, greatest(0.0, least(10.0, CAST(regexp_extract(final_answer, '(\d+(?:\.\d+)?)', 1) AS DOUBLE))) / 10 AS judged
 FROM (SELECT DISTINCT run_id, final_answer FROM agent_runs) WHERE regexp_extract(final_answer, '(\d+(?:\.\d+)?)', 1) <> ''"""
@@ -277,9 +270,8 @@ def judge_parse(spark: SparkSession, d: str) -> DataFrame:
 )
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     """A list means any of its values, a single value equality; a missing key fails."""
-    lang, strategy = F.element_at("metadata", F.lit("lang")), F.element_at("metadata", F.lit("strategy"))
-    keep = F.coalesce(lang.isin("de", "fr"), F.lit(False)) & F.coalesce(strategy == "recursive", F.lit(False))
-    return table(spark, d, "text_chunks", "chunk_id", "metadata").where(keep).select("chunk_id", lang.alias("lang"))
+    keep = retrieval.matches(F.col("metadata"), {"lang": ["de", "fr"], "strategy": "recursive"})
+    return table(spark, d, "text_chunks", "chunk_id", "metadata").where(keep).select("chunk_id", F.element_at("metadata", F.lit("lang")).alias("lang"))
 
 
 # ------------------------------------------------------------------ chunking
@@ -447,8 +439,6 @@ _named(
     "token_f1", lambda spark, d: _score("f1")(spark, d).withColumnRenamed("f1", "token_f1"),
     f"WITH {_PAIRS} SELECT pair_id, round({_f_sql(f'{_TOKF} / greatest(len(list_distinct(c)), 1)', f'{_TOKF} / greatest(len(list_distinct(r)), 1)')}, 6) AS token_f1 FROM tok",
 )
-_named("score_all", lambda spark, d: scoring.score(_pairs(spark, d)))
-_named("score_aggregate", lambda spark, d: scoring.aggregate(scoring.score(_pairs(spark, d))))
 
 # ------------------------------------------------------------------ telemetry
 
@@ -628,18 +618,6 @@ def target_key(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select("request_id", F.concat_ws(":", "provider", "model").alias("target")).distinct()
 
 
-@query(
-    f"""WITH {_LOG} SELECT CAST(to_json(struct_pack(provider := provider, n := count(*))) AS VARCHAR) AS json FROM log GROUP BY provider"""
-)
-def metrics_json(spark: SparkSession, d: str) -> DataFrame:
-    return readers.as_json(_log(spark, d).groupBy("provider").agg(F.count("*").alias("n")))
-
-
-@query()
-def metrics_report(spark: SparkSession, d: str) -> DataFrame:
-    return readers.report(telemetry.summary(_log(spark, d), "strategy"), "requests by strategy", "strategy")
-
-
 # ------------------------------------------------------------------ state, caches, memory
 
 
@@ -667,13 +645,6 @@ def token_bucket_by_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _bucket_rows(state.token_bucket(rows, "provider", 1.0, 2000.0, "amount"))
 
 
-@query()
-def shared_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """A day and its requests are a lane; requests and tokens are limited for the lane and for each provider."""
-    rows = _log(spark, d).withColumn("day", F.to_date("start_time")).withColumn("amount", F.coalesce("total_tokens", F.lit(0)).cast("double"))
-    return state.shared_buckets(rows, "day", "provider", (1 / 120, 10.0), (2.0, 20000.0), (1 / 600, 3.0), (1.0, 5000.0))
-
-
 @query(
     f"""WITH RECURSIVE {_LOG}, o AS MATERIALIZED (SELECT provider, epoch, request_id, success, row_number() OVER (PARTITION BY provider ORDER BY epoch, request_id) AS i FROM log),
 b AS (SELECT provider, i, request_id, true AS let_through, 'closed' AS state, CASE WHEN success THEN 0 ELSE 1 END AS bad, CASE WHEN success THEN 1 ELSE 0 END AS good, 0.0::DOUBLE AS since FROM o WHERE i = 1
@@ -749,28 +720,6 @@ def _lookups(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.coalesce(F.lower(F.trim("provider")), F.lit("unknown")).alias("cache"), (F.unix_micros("start_time") / 1e6).alias("epoch"), F.col("request_id").alias("op_id"), key.alias("key"))
 
 
-@query()
-def cache_lru(spark: SparkSession, d: str) -> DataFrame:
-    return state.lru_cache(_lookups(spark, d), "cache", 50, 86400.0)
-
-
-@query()
-def cache_lru_stats(spark: SparkSession, d: str) -> DataFrame:
-    return memory.cache_stats(state.lru_cache(_lookups(spark, d), "cache", 50, 86400.0), ["cache"])
-
-
-@query()
-def cache_semantic(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "cache_entries", F.col("entry_id").alias("op_id"), "key", (F.unix_micros("created_at") / 1e6).alias("epoch")).where("key IS NOT NULL")
-    return state.semantic_cache(rows.select((F.col("op_id") % 16).alias("cache"), "op_id", "epoch", "key", V.trigram_embedding(F.col("key"), 256).alias("vec")), "cache")
-
-
-@query()
-def memory_evictions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "memory_entries", F.col("memory_id").alias("op_id"), "memory_type", "key", "importance", (F.unix_micros("created_at") / 1e6).alias("epoch"))
-    return state.bounded_memory(rows.select(F.coalesce("memory_type", F.lit("none")).alias("store"), "op_id", "key", F.coalesce("importance", F.lit(0.0)).alias("importance"), F.coalesce("epoch", F.lit(0.0)).alias("epoch")), "store", 50)
-
-
 _TURNS = "turns AS (SELECT DISTINCT conv_id, turn, message_id, role, coalesce(content, '') AS content FROM chat_messages)"
 
 
@@ -835,13 +784,6 @@ def memory_search(spark: SparkSession, d: str) -> DataFrame:
     return memory.search_words(_memories(spark, d), _SEARCH)
 
 
-@query()
-def memory_search_vector(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "memory_entries", "memory_id", "embedding").where("size(embedding) = 64 AND NOT exists(embedding, x -> isnan(x))").orderBy("memory_id").limit(1).collect()
-    vec = list(first[0]["embedding"]) if first else [0.0] * 64
-    return memory.search_vector(_memories(spark, d), vec)
-
-
 @query(
     f"""WITH s AS (SELECT memory_id, round(coalesce({_SHARE.format(q=_SEARCH, t="value")}, 0) * (1 + coalesce(importance, 0)) * (1 + greatest(0, 1 - (epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(created_at)) / 1e6 / 86400 / 30)), 9) AS score FROM memory_entries)
 SELECT memory_id, score FROM s ORDER BY score DESC NULLS LAST, memory_id LIMIT 10"""
@@ -890,11 +832,11 @@ def best_agent(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT run_id, CAST(len(coalesce(steps, [])) AS INTEGER) AS n_steps, CAST(list_sum(list_transform(steps, lambda s: coalesce(s.tokens_used, 0))) AS BIGINT) AS tokens,
-CAST(len(list_filter(steps, lambda s: s.action IS NOT NULL)) AS INTEGER) AS actions FROM agent_runs WHERE len(steps) > 0"""
+    """SELECT DISTINCT run_id, CAST(len(coalesce(steps, [])) AS INTEGER) AS n_steps, CAST(coalesce(list_sum(list_transform(steps, lambda s: coalesce(s.tokens_used, 0))), 0) AS BIGINT) AS tokens,
+CAST(coalesce(len(list_filter(steps, lambda s: s.action IS NOT NULL)), 0) AS INTEGER) AS actions FROM agent_runs"""
 )
 def agent_totals(spark: SparkSession, d: str) -> DataFrame:
-    return tools.step_totals(table(spark, d, "agent_runs", "run_id", "steps").where("size(steps) > 0")).distinct()
+    return tools.step_totals(table(spark, d, "agent_runs", "run_id", "steps")).distinct()
 
 
 @query(
@@ -909,19 +851,6 @@ def tool_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
-def react_parse(spark: SparkSession, d: str) -> DataFrame:
-    steps = table(spark, d, "agent_runs", "run_id", F.explode("steps").alias("s"))
-    reply = F.concat(F.lit("Thought: "), F.coalesce("s.thought", F.lit("")), F.lit("\nAction: "), F.coalesce("s.action", F.lit("")), F.lit("\nObservation: "), F.coalesce("s.observation", F.lit("")))
-    return steps.select("run_id", "s.step_number", tools.react(reply).alias("p")).select("run_id", "step_number", "p.*").distinct()
-
-
-@query()
-def calculator(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "retrieval_results", "query_id", "chunk_id", "score").select(F.concat(F.col("query_id").cast("string"), F.lit(" * 2 + "), F.col("chunk_id").cast("string")).alias("expression")).distinct()
-    return rows.select("expression", tools.calculator("expression").alias("value"))
-
-
 @query("SELECT CAST(i AS INTEGER) AS rank, 'result ' || (i + 1) AS title, round(1 - 0.1 * i, 6)::DOUBLE AS relevance FROM range(5) t(i)")
 def search_simulator(spark: SparkSession, d: str) -> DataFrame:
     n = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rank"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,6 +47,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path for files of a run, in the folder that all executors share (see :func:`durable`)."""
+    durable(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
 def few(df: DataFrame, rows: int = 1_000_000) -> bool:
     """Whether a side has at most so many rows, counted: then it may be broadcast; a larger one is left to the planner."""
     return df.limit(rows + 1).count() <= rows
