@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import encode, mojibake, neardup, neighbours, pack, pairs, pii, quantiles, split, topn
@@ -49,7 +49,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """source, vec_id, neighbor_id, score, place for all four collections; embed_results counts by model."""
+    """source, vec_id, neighbor_id, place for all four collections; embed_results counts by model."""
     calls = table(spark, d, "embed_results", "model", "dimensions", "vec_ids", "embeddings")
     each = calls.select("model", F.inline(F.arrays_zip(F.col("vec_ids").alias("id"), F.col("embeddings").alias("vec"))))
     models = calls.groupBy("model").agg(F.mode("dimensions", True).alias("dim")).where("dim > 0").orderBy("model").collect()  # a row per model
@@ -60,7 +60,7 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     ]
     out = None
     for source, dim, rows in sets:
-        found = neighbours.neighbours(rows, "id", "vec", dim).select(F.lit(source).alias("source"), F.col("id").alias("vec_id"), "neighbor_id", "score", "place")
+        found = neighbours.neighbours(rows, "id", "vec", dim).select(F.lit(source).alias("source"), F.col("id").alias("vec_id"), "neighbor_id", "place")
         out = out.unionByName(found) if out else found
     return out
 
@@ -73,6 +73,16 @@ def p4_split(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "text_chunks", "chunk_id", "text"), "chunk_id", "text")
 
 
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every split chunk put together again from its pieces without their overlaps, and how many pieces are too long."""
+    pieces = p4_split(spark, d).select("chunk_id", "piece", "text", "start_char", "end_char")
+    before = F.lag("end_char", 1, 0).over(Window.partitionBy("chunk_id").orderBy("piece"))
+    # what a piece adds begins where the one before ended
+    added = pieces.select("chunk_id", "piece", F.expr("length(text)").alias("n"), F.substring("text", before - F.col("start_char") + 1, F.length("text")).alias("new"))
+    whole = added.groupBy("chunk_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("piece", "new")))["new"], "").alias("text"), F.sum(F.when(F.col("n") > 1200, 1).otherwise(0)).alias("too_long"))
+    return whole
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split.cuts(p4_split(spark, d), "chunk_id")
 
@@ -161,6 +171,20 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(sizes, "doc_id", "n_tokens")
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents packed or empty, and what must not be: containers over their capacity, places that overlap or leave a gap inside, documents cut needlessly, and lost documents."""
+    parts = durable(p9_packed(spark, d))
+    placed = parts.where("container IS NOT NULL")
+    after = placed.withColumn("due", F.lag(F.col("position") + F.col("size"), 1, 0).over(Window.partitionBy("container").orderBy("position")))
+    held = placed.groupBy("container").agg(F.sum("size").alias("n"))
+    cut = placed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("size").alias("n")).where("parts > ceil(n / 2048)")
+    one = spark.range(1)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    for side in (count(parts.select("doc_id").distinct(), "documents"), count(held.where("n > 2048"), "overfull"), count(after.where("position <> due"), "misplaced"), count(cut, "cut"), count(table(spark, d, "documents", "doc_id").join(parts, "doc_id", "left_anti"), "lost")):
+        one = one.crossJoin(F.broadcast(side))  # one row each
+    return one.drop("id")
+
+
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
 
@@ -169,4 +193,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).where("damaged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p7_distinct, p8_ids, p8_ids_joined, p8_decoded, p8_decoded_joined, p9_packed, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_rebuilt, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p7_distinct, p8_ids, p8_ids_joined, p8_decoded, p8_decoded_joined, p9_packed, p9_checks, p10_found, p10_restored)}

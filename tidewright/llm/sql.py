@@ -21,13 +21,13 @@ SELECT '{source}' AS source, id_a, id_b FROM (
 
 def _nearest(source: str, rows: str, by: str) -> str:
     return f"""
-SELECT '{source}' AS source, vec_id, neighbor_id FROM (
+SELECT '{source}' AS source, vec_id, neighbor_id, place FROM (
   WITH v AS (SELECT part, id, CAST(vec AS DOUBLE[]) AS v FROM ({rows}) WHERE vec IS NOT NULL AND len(vec) = {by}
     AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
   u AS (SELECT part, id, v, sqrt(list_inner_product(v, v)) AS n FROM v),
   r AS (SELECT a.id AS vec_id, b.id AS neighbor_id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.id) AS i
     FROM u a JOIN u b ON a.part = b.part AND a.id <> b.id)
-  SELECT vec_id, neighbor_id FROM r WHERE i <= 5)"""
+  SELECT vec_id, neighbor_id, CAST(i AS INTEGER) AS place FROM r WHERE i <= 5)"""
 
 
 _CALLS = "SELECT model AS part, CASE WHEN model = (SELECT model FROM embed_results WHERE dimensions = 96 LIMIT 1) THEN 96 ELSE 64 END AS dim, unnest(vec_ids) AS id, unnest(embeddings) AS vec FROM embed_results"
@@ -54,17 +54,30 @@ WITH once AS (SELECT DISTINCT request_id, lower(trim(provider)) AS provider, mod
 x AS (SELECT provider, model, 'latency_ms' AS metric, latency_ms AS value FROM once WHERE latency_ms >= 0 AND NOT isnan(latency_ms) UNION ALL SELECT provider, model, 'cost', cost FROM once WHERE cost IS NOT NULL AND NOT isnan(cost))
 SELECT provider, model, metric, count(*) AS n, 0.5::DOUBLE AS rank_error, {", ".join(_RANK.format(q=q, name=name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))} FROM x GROUP BY ALL"""
 
+_NEAREST = " UNION ALL ".join(
+    [
+        _nearest("text_chunks", "SELECT 0 AS part, chunk_id AS id, embedding AS vec FROM text_chunks", "64"),
+        _nearest("memory_entries", "SELECT 0 AS part, memory_id AS id, embedding AS vec FROM memory_entries", "64"),
+        _nearest("embed_results", _CALLS, "dim"),
+    ]
+)
+# A day's values of a group are fewer than a summary keeps at that size, so its tuples are the values with their ranks.
+_DAILY = """
+WITH once AS (SELECT DISTINCT request_id, lower(trim(provider)) AS provider, model, start_time, latency_ms, cost FROM request_metrics),
+x AS (SELECT CAST(start_time AS DATE) AS day, provider, model, 'latency_ms' AS metric, latency_ms AS value FROM once WHERE latency_ms >= 0 AND NOT isnan(latency_ms) UNION ALL SELECT CAST(start_time AS DATE), provider, model, 'cost', cost FROM once WHERE cost IS NOT NULL AND NOT isnan(cost)),
+g AS (SELECT day, provider, model, metric, count(*) AS n, list_sort(list(value)) AS value FROM x GROUP BY ALL),
+r AS (SELECT *, list_transform(range(1, n + 1), lambda i: i::DOUBLE) AS rmin FROM g)
+SELECT day, provider, model, metric, n, 0.5::DOUBLE AS err, value, rmin, rmin AS rmax FROM r"""
+
 ORACLE = {
     "p5_percentiles": _PERCENTILES,
     "p1_found": _near("text_chunks", "chunk_id", "text") + " UNION ALL " + _near("cache_entries", "entry_id", "key"),
     "p1_groups": _grouped("text_chunks", "chunk_id", "text") + " UNION ALL " + _grouped("cache_entries", "entry_id", "key"),
-    "p3_found": " UNION ALL ".join(
-        [
-            _nearest("text_chunks", "SELECT 0 AS part, chunk_id AS id, embedding AS vec FROM text_chunks", "64"),
-            _nearest("memory_entries", "SELECT 0 AS part, memory_id AS id, embedding AS vec FROM memory_entries", "64"),
-            _nearest("embed_results", _CALLS, "dim"),
-        ]
-    ),
+    "p3_neighbours": _NEAREST,
+    "p3_found": f"SELECT source, vec_id, neighbor_id FROM ({_NEAREST})",
+    "p4_rebuilt": "SELECT chunk_id, text, 0::BIGINT AS too_long FROM text_chunks WHERE length(text) > 1200",
+    "p9_checks": "SELECT count(*) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS misplaced, 0::BIGINT AS cut, 0::BIGINT AS lost FROM documents",
+    "p5_daily": _DAILY,
     "p4_found": """
 SELECT chunk_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}。！？]'), lambda x: length(x))) > 1200
   THEN 'forced' ELSE 'natural' END AS cut
