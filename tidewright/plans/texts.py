@@ -97,6 +97,32 @@ chunks AS (SELECT k, [i, 0, 0, 0] AS o, {_strip("shown")} AS text, a AS start_ch
 {_numbered("chunks", more=", section")}"""
 
 
+def _plan_sql(sep: str, size: int, overlap: int) -> str:
+    """What the parts between one separator are merged into, in order: pieces (m) and parts to be split again (r)."""
+    join = lambda x: f"array_to_string({x}, {sep})"
+    full = f"len(a.own) > 0 AND {_sum('a.own', _CHARS)} + length(p) > {size}"
+    tail = f"a.own[coalesce(list_filter(range(1, len(a.own)), lambda i: length({join('a.own[i:]')}) <= {overlap})[1], len(a.own)):]"
+    own, out = f"CASE WHEN {full} THEN {tail} ELSE a.own END", f"CASE WHEN {full} THEN list_append(a.out, {{'k': 'm', 't': {join('a.own')}}}) ELSE a.out END"
+    large = f"list_concat({out}, CASE WHEN len({own}) > 0 THEN [{{'k': 'm', 't': {join(own)}}}, {{'k': 'r', 't': p}}] ELSE [{{'k': 'r', 't': p}}] END)"
+    step = f"CASE WHEN length(p) > {size} THEN {{'own': []::VARCHAR[], 'out': {large}}} ELSE {{'own': list_append({own}, p), 'out': {out}}} END"
+    folded = f"list_reduce(string_split(t, {sep}), lambda a, p: {step}, {{'own': []::VARCHAR[], 'out': []::STRUCT(k VARCHAR, t VARCHAR)[]}})"
+    return f"list_transform([{folded}], lambda z: CASE WHEN len(z.own) > 0 THEN list_append(z.out, {{'k': 'm', 't': {join('z.own')}}}) ELSE z.out END)[1]"
+
+
+def _recursive_sql(size: int, overlap: int) -> str:
+    seps = ["chr(10) || chr(10)", "chr(10)", "'. '", "'。'", "' '"]
+    plans = ", ".join(f"CASE WHEN k = 'r' AND length(t) > {size} AND contains(t, {x}) THEN {_plan_sql(x, size, overlap)} END AS p{i}" for i, x in enumerate(seps))
+    steps = f"list_transform(list_filter(range(0, length(t), {size - overlap}), lambda i: {_strip(f'substring(t, i + 1, {size})')} <> ''), lambda i: {{'k': 'm', 't': substring(t, i + 1, {size})}})"
+    chosen = "CASE " + " ".join(f"WHEN len(p{i}) > 1 THEN p{i}" for i in range(len(seps))) + f" ELSE {steps} END"
+    return f"""WITH RECURSIVE {_DOCS},
+w AS (SELECT k AS id, 0::BIGINT AS i, 0::BIGINT AS seen, [{{'k': 'r', 't': t}}]::STRUCT(k VARCHAR, t VARCHAR)[] AS todo, NULL::VARCHAR AS done FROM src
+  UNION ALL SELECT id, i + 1, seen + CASE WHEN done IS NULL THEN 0 ELSE length(done) END, CASE WHEN k = 'm' OR length(t) <= {size} THEN rest ELSE list_concat({chosen}, rest) END, done
+  FROM (SELECT *, CASE WHEN k = 'm' OR (length(t) <= {size} AND {_strip("t")} <> '') THEN t END AS done, {plans} FROM (SELECT id, i, seen, todo[1].k AS k, todo[1].t AS t, todo[2:] AS rest FROM w WHERE len(todo) > 0))),
+chunks AS (SELECT id AS k, i AS o, done AS text, seen - length(done) AS start_char, seen AS end_char FROM w WHERE done IS NOT NULL)
+{_numbered("chunks")}"""
+
+
+ORACLE["chunk_recursive"] = _recursive_sql(600, 60)
 ORACLE["chunk_fixed_size"] = _fixed_sql(600, 60)
 ORACLE["chunk_sentence"] = f"WITH RECURSIVE {_DOCS}, {_sentence_ctes('s', 'src', 600)} {_numbered('schunks')}"
 ORACLE["chunk_paragraph"] = f"WITH RECURSIVE {_DOCS}, {_paragraph_ctes('p', 'src', 600)} {_numbered('pchunks')}"
