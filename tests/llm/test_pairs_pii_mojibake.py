@@ -192,3 +192,13 @@ def test_restoring_short_stretches_inside_other_text(spark):
         assert say(right) in plain.candidates(say(right.encode(wrote).decode(read)))
     assert out[903] == ("Журна is full", True) and out[904] == (text(word), False)
     assert not any(out[i][1] for i, _, _ in _corpus())
+
+
+def test_letters_of_a_script_that_the_sample_lacks_are_sound(spark):
+    greek = "Ο δρομολογητής περιμένει το κλείδωμα και η ουρά μεγαλώνει."
+    rows = _corpus() + [(500 + i, f"{greek} {i}" + " word" * 1000, None) for i in range(5)] + [(600, BAD, None)]  # too long for the sample
+    df = spark.createDataFrame(rows, "doc bigint, body string, l string")
+    own = mojibake.own_signs(df, "body")
+    assert set("δρομλγητή") <= own and not own & set("éÃ©в")
+    out = {r["doc"]: r["damaged"] for r in mojibake.repair(df, "doc", "body", "l").collect()}
+    assert out[600] and not any(out[500 + i] for i in range(5))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +43,13 @@ def words(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATTERN
 def word_table(split: DataFrame, path: str, pattern: str = WORD_PATTERN) -> DataFrame:
     """Distinct words with their ids and how often they occur: ``word``, ``n``, ``ids``."""
 
+    split.sparkSession.sparkContext.addFile(path)  # executors need not have the tokenizers' folder
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+        held = ranks(SparkFiles.get(os.path.basename(path)))
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=held, special_tokens={})
         for batch in batches:
             ids = [own.encode_ordinary(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
