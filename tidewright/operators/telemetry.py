@@ -303,7 +303,7 @@ def alerts(values: DataFrame, rule: str, value: str, above: float, cooldown: flo
 
 def _next(t: np.ndarray, cooldown: float) -> np.ndarray:
     """Of each candidate the first that may fire after it."""
-    return np.searchsorted(t - t[0], t - t[0] + cooldown - 1e-9) if len(t) else np.zeros(0, np.int64)
+    return np.maximum(np.searchsorted(t - t[0], t - t[0] + cooldown - 1e-9), np.arange(len(t)) + 1) if len(t) else np.zeros(0, np.int64)
 
 
 def fired(hot: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import text as T
 from tidewright.functions import vectors as V
 from tidewright.operators import bm25, chunking, dense, embedding, fusion, memory, retrieval, scoring, state, telemetry, tools
-from tidewright.session import table
+from tidewright.session import first, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -167,8 +167,7 @@ def sparse_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Metadata filters stand after the cut (at twice the number asked) of a sparse search."""
     best = bm25.top(_stable(bm25.score(_docs(spark, d), "doc_id", "text", _asked(spark))), 40)
     lang = table(spark, d, "documents", "doc_id", "lang").where(F.col("lang").isin("de", "en"))
-    again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1
-    kept = best.join(lang, "doc_id", "left_semi").withColumn("rank", again).where("rank < 10")
+    kept = first(best.join(lang, "doc_id", "left_semi").withColumnRenamed("rank", "before"), ["query_id"], ["before"], 10)
     return kept.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -216,8 +215,7 @@ c AS (SELECT * FROM (SELECT query_id, chunk_id AS item_id, max(score) AS score,
 def _cands(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "retrieval_results", "query_id", "chunk_id", "score").where("score IS NOT NULL AND NOT isnan(score)")
     each = rows.groupBy("query_id", F.col("chunk_id").alias("item_id")).agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return each.withColumn("rank", F.row_number().over(w) - 1).where("rank < 50")
+    return first(each, ["query_id"], [F.col("score").desc(), "item_id"], 50)
 
 
 def _reranked(df: DataFrame) -> DataFrame:
