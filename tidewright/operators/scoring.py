@@ -8,28 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.functions.text import eval_tokens, exact_form, ngrams
+from tidewright.functions.text import eval_tokens, exact_form
 from tidewright.functions.vectors import dot, word_embedding
 
 METRICS = ("bleu", "rouge1", "rouge2", "rouge_l", "semantic", "exact_match", "f1")
 
 
-def _overlap(c: Column, r: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _overlap(cand: pd.Series, ref: pd.Series) -> pd.Series:
     """For n = 1 to 4: clipped matches and number of the candidate's n-grams, then the numbers of distinct n-grams of both.
 
-    A gram counts as often as both sides have it: numbered among its equals, it is a distinct item, and items can be intersected.
+    The words of a batch become numbers, an n-gram the number of its first n - 1 words and its last word together; then
+    grams are counted per row and the counts of both sides met by key, all in whole arrays.
     """
-
-    def numbered(grams: Column) -> Column:
-        kinds = F.array_sort(grams)
-        # in sorted order equals stand together, so an item's number is its distance from the first of them
-        return F.transform(kinds, lambda g, i: F.concat(g, F.lit("\0"), (i - F.array_position(kinds, g)).cast("string")))
-
-    out = []
+    n_rows = len(cand)
+    length = np.r_[cand.map(len).to_numpy(np.int64), ref.map(len).to_numpy(np.int64)]
+    row = np.repeat(np.r_[np.arange(n_rows), np.arange(n_rows)], length)
+    text = np.repeat(np.arange(2 * n_rows), length)
+    word, kinds = pd.factorize(np.array([w for own in (*cand, *ref) for w in own], object))
+    out, code = np.zeros((n_rows, 16), np.int64), word.astype(np.int64)
+    per = lambda keys, width, weight=None: np.bincount(keys // width, weight, n_rows).astype(np.int64)
     for n in range(1, 5):
-        a, b = ngrams(c, n), ngrams(r, n)
-        out += [F.size(F.array_intersect(numbered(a), numbered(b))), F.size(a), F.size(F.array_distinct(a)), F.size(F.array_distinct(b))]
-    return F.array(*out)
+        if n > 1:  # grams that begin at each place but the last ones
+            code = np.unique(code[:-1] * (len(kinds) + 1) + word[n - 1 :], return_inverse=True)[1].astype(np.int64) if len(code) else code
+        start, end = np.arange(len(code)), np.arange(len(code)) + n - 1
+        whole = text[start] == text[end]
+        width = int(code.max(initial=0)) + 1
+        key, mine = row[start] * width + code, text[start] < n_rows
+        c, c_n = np.unique(key[whole & mine], return_counts=True)
+        r, r_n = np.unique(key[whole & ~mine], return_counts=True)
+        both, i, j = np.intersect1d(c, r, assume_unique=True, return_indices=True)
+        out[:, 4 * n - 4 : 4 * n] = np.stack([per(both, width, np.minimum(c_n[i], r_n[j])), per(c, width, c_n), per(c, width), per(r, width)], 1)
+    return pd.Series(list(out))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -98,7 +108,7 @@ def score(pairs: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
     rows = pairs.select("pair_id", "candidate", "reference", eval_tokens("candidate").alias("c"), eval_tokens("reference").alias("r"))
-    rows = rows.withColumn("o", _overlap(F.col("c"), F.col("r")))
+    rows = rows.withColumn("o", _overlap("c", "r"))
     made = {
         "bleu": lambda: bleu(F.col("o"), F.col("c"), F.col("r")),
         "rouge1": lambda: rouge_n(F.col("o"), 1),

@@ -53,7 +53,7 @@ def ranked_values(rows: DataFrame, keys: list[str], value: str, places: dict[str
     w = Window.partitionBy(*keys)
     counts = own.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
     run = F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
-    spans = durable(counts.withColumns({"__n": F.sum("__c").over(w), "__upto": run}))
+    spans = counts.withColumns({"__n": F.sum("__c").over(w), "__upto": run})
     want = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("__n")).cast("bigint").alias("place")) for name, place in places.items()])).alias("__w")
     asked = spans.select(*keys, "__b", "__n", "__c", "__upto", want).where("__w.place < __upto AND __w.place >= __upto - __c")
     asked = durable(asked.select(*keys, "__b", "__n", F.col("__w.name").alias("__name"), (F.col("__w.place") - F.col("__upto") + F.col("__c")).alias("__at")))
