@@ -65,6 +65,13 @@ def react(reply: Column) -> Column:
     )
 
 
+def simulated_search(queries: DataFrame, n: int = 5) -> DataFrame:
+    """query_id, rank, title, relevance: what a web search would give, made up: n results that lose a tenth of relevance each."""
+    each = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rank"))
+    title = F.concat(F.lit("Result "), (F.col("rank") + 1).cast("string"), F.lit(" for: "), F.col("query"))
+    return each.select("query_id", "rank", title.alias("title"), F.round(F.greatest(F.lit(0.0), 1 - 0.1 * F.col("rank")), 6).alias("relevance"))
+
+
 def current_time(hours: Column, as_of: Column | None = None) -> Column:
     """Now (or ``as_of``) plus some hours, in ISO form; the label stays that of UTC."""
     now = F.current_timestamp() if as_of is None else as_of

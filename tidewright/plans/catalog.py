@@ -849,8 +849,6 @@ def tool_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT CAST(i AS INTEGER) AS rank, 'result ' || (i + 1) AS title, round(1 - 0.1 * i, 6)::DOUBLE AS relevance FROM range(5) t(i)")
+@query(f"SELECT CAST(query_id AS BIGINT) AS query_id, CAST(i AS INTEGER) AS rank, 'Result ' || (i + 1) || ' for: ' || query AS title, round(1 - 0.1 * i, 6)::DOUBLE AS relevance FROM {_values(ASKED, 'query_id, query')}, range(5) t(i)")
 def search_simulator(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rank"))
-    return n.select("rank", F.concat(F.lit("result "), (F.col("rank") + 1).cast("string")).alias("title"), F.round(1 - 0.1 * F.col("rank"), 6).alias("relevance"))
-
+    return tools.simulated_search(_asked(spark))

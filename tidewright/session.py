@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "6g") -> SparkSession:
-    """A local session for tests and the bench. On a cluster the caller's own session is used."""
+    """A local session for tests and the bench, with a checkpoint folder of this machine. On a cluster the caller's own session is used."""
     return (
         SparkSession.builder.master(master)
         .appName("tidewright")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tidewright-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
