@@ -364,7 +364,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, radius: int = 55, shard_limit: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, id_col: str, text_col: str, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, radius: int = 55, shard_limit: int = 5_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal tuple sets and the pairs of classes that are at least ``least`` similar.
 
     Returns ``members`` (id, same) and ``pairs`` (a, b, similarity; a and b are values of ``same``). Rows with a

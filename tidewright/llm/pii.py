@@ -383,7 +383,7 @@ def detect(df: DataFrame, id_col: str, text_col: str, known: DataFrame, bound: i
                 own = sets or {k: frozenset(r["word"] for r in x) for k, x in _by_kind([] if row.known is None else row.known).items()}
                 given = own["given"]
                 out += _rows(row.id, row.text, find(p, row.text, own["family"], names_only, own["full"], given))
-                if names_only:
+                if names_only and not given.isdisjoint(_tokens(_fold(row.text))):
                     out += [(row.id, "pair", m.start(), m.end(), m[0], "", True) for m in p.pair.finditer(row.text, overlapped=True) if _fold(m[1]) in given and _fold(m[2]) not in given]
             yield pd.DataFrame(out, columns=["id", "pii_type", "start_char", "end_char", "value", "title", "bounded"])
 

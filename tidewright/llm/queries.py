@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import secrets
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,6 +113,20 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(p5_daily(spark, d).drop("day"), keys), keys, PERCENTILES)
 
 
+def p5_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of 40 tuples, so that every level compresses: per group whether each answer's true rank lies within its stated error, and whether that is at most a tenth of the values."""
+    keys, k = ["provider", "model", "metric"], 40
+    rows = durable(requests(spark, d))
+    daily = quantiles.combine(quantiles.summarise(rows, ["day", *keys], "value", k), ["day", *keys], k)
+    small = quantiles.percentiles(quantiles.combine(daily.drop("day"), keys, k), keys, PERCENTILES)
+    named = small.select(*[F.col(c).alias(f"_{c}") for c in keys], "n", "rank_error", *PERCENTILES)
+    met = rows.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]))
+    counts = [F.sum(F.when(F.col("value") + 0.0 < F.col(q), 1).otherwise(0)).alias(f"below_{q}") for q in PERCENTILES] + [F.sum(F.when(F.col("value") + 0.0 <= F.col(q), 1).otherwise(0)).alias(f"upto_{q}") for q in PERCENTILES]
+    each = met.groupBy(*keys, "n", "rank_error").agg(*counts)
+    off = [F.greatest(F.col(f"below_{q}") + 1 - (x * (F.col("n") - 1) + 1), x * (F.col("n") - 1) + 1 - F.col(f"upto_{q}")) <= F.col("rank_error") + 1e-6 for q, x in PERCENTILES.items()]
+    return each.select(*keys, "n", reduce(and_, off).alias("bounded"), (F.col("rank_error") <= F.col("n") / 10 + 1).alias("tight"))
+
+
 def p6_topn(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "retrieval_results", "query_id", "chunk_id", "score"), "query_id", "chunk_id", "score")
 
@@ -193,4 +209,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).where("damaged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_rebuilt, p4_found, p5_percentiles, p5_daily, p6_topn, p6_found, p7_found, p7_redacted, p7_distinct, p8_ids, p8_ids_joined, p8_decoded, p8_decoded_joined, p9_packed, p9_checks, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_defects, p3_found, p3_neighbours, p4_split, p4_rebuilt, p4_found, p5_percentiles, p5_daily, p5_bounded, p6_topn, p6_found, p7_found, p7_redacted, p7_distinct, p8_ids, p8_ids_joined, p8_decoded, p8_decoded_joined, p9_packed, p9_checks, p10_found, p10_restored)}

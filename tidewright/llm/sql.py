@@ -71,6 +71,7 @@ SELECT day, provider, model, metric, n, 0.5::DOUBLE AS err, value, rmin, rmin AS
 
 ORACLE = {
     "p5_percentiles": _PERCENTILES,
+    "p5_bounded": f"SELECT provider, model, metric, n, true AS bounded, true AS tight FROM ({_PERCENTILES})",
     "p1_found": _near("text_chunks", "chunk_id", "text") + " UNION ALL " + _near("cache_entries", "entry_id", "key"),
     "p1_groups": _grouped("text_chunks", "chunk_id", "text") + " UNION ALL " + _grouped("cache_entries", "entry_id", "key"),
     "p3_neighbours": _NEAREST,
