@@ -235,7 +235,7 @@ def _sliced(rows: DataFrame, seconds: Column | float, wide: float) -> DataFrame:
     A row that a window of ``seconds`` can still see from the next range comes there a second time, not as its own. So a
     hot key's windows are worked on range by range, by many tasks.
     """
-    width = int(wide * 1e6)
+    width = max(1, int(wide * 1e6))
     timed = rows.withColumn("__t", _micros()).withColumn("__s", F.floor(F.col("__t") / width))
     seen = (F.col("__s") + 1) * width - F.col("__t") <= seconds * 1e6
     each = timed.withColumn("__slice", F.explode(F.when(seen, F.array("__s", F.col("__s") + 1)).otherwise(F.array("__s"))))
@@ -268,7 +268,7 @@ def rule_values(log: DataFrame, rules: DataFrame) -> DataFrame:
     scope = lambda names, x: F.coalesce(F.size(names), F.lit(0)).isin(0, -1) | F.array_contains(names, F.col(x))
     short = F.broadcast(rules) if few(rules, 10_000) else rules
     met = log.select("epoch", "request_id", "provider", "model", "latency_ms", "success", "cost", "total_tokens").join(short, scope(F.col("providers"), "provider") & scope(F.col("models"), "model"))
-    width = durable(rules.agg(F.max("seconds").alias("x"))).first()["x"] or 1.0
+    width = rules.agg(F.max("seconds").alias("x")).first()["x"] or 1.0
     rows = _sliced(met, F.col("seconds"), 4 * float(width))
     # windows differ by rule, so the frame is the widest and rows beyond a rule's own are told by their time
     parts = Window.partitionBy("rule", "__slice")

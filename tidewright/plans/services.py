@@ -9,7 +9,7 @@ from tidewright.functions import vectors as V
 from tidewright.operators import fusion, memory, retrieval, state, telemetry, tools
 from tidewright.plans import catalog as C
 from tidewright.plans.catalog import ORACLE, query
-from tidewright.session import table
+from tidewright.session import scratch, table
 from tidewright.sources import readers
 from tidewright.streaming import live
 
@@ -261,6 +261,18 @@ def request_sessions(spark: SparkSession, d: str) -> DataFrame:
     return live.sessions(C._log(spark, d), "provider")
 
 
+@query(ORACLE["windowed_metrics"])
+def windowed_metrics_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The table as a stream until it is used up: one query drops repeats within the watermark, a second one counts in windows what the first wrote."""
+    rest = table(spark, d, "request_metrics")
+    stream = spark.readStream.schema(rest.schema).parquet(f"{d}/request_metrics.parquet*")
+    named = stream.withColumn("provider", F.coalesce(F.lower(F.trim("provider")), F.lit("unknown")))
+    once, out = scratch(spark), scratch(spark)
+    live.run_once(live.once(named, "request_id", "start_time"), once, scratch(spark), "append")
+    live.run_once(live.windowed(spark.readStream.schema(named.schema).parquet(once)), out, scratch(spark))
+    return spark.read.parquet(out)
+
+
 # ------------------------------------------------------------------ sequences of state
 
 

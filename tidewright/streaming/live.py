@@ -30,6 +30,15 @@ def once(stream: DataFrame, key: str, time: str, late: str = "10 minutes") -> Da
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+    """Run a stream until its source is used up; ``path`` gets what each batch changed, as parquet."""
+    write = lambda batch, _: batch.write.mode("append").parquet(path)
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
 def token_bucket(stream: DataFrame, key: str, rate: float, capacity: float) -> DataFrame:
     """key, request_id, epoch, allowed, tokens: one bucket of state per key; a batch's events are taken in time order."""
 
