@@ -142,10 +142,14 @@ class Patterns:
         street = lambda words: frozenset(x for w in words.split("|") for x in _tokens(_fold(w.replace("\\", "")))[:1])
         self.name_words, self.title_words, self.weak_words = key(SAY_NAME + ASK_FOR + SIGN_OFFS), key(TITLES), key(WEAK_CUES)
         self.phone_words, self.id_words = key(PHONE_CUES), key(ID_CUES)
-        ends = tuple(_fold(x.replace("\\", "")) for x in STREET_DE.split("|"))
-        self.address_words: list[tuple[frozenset[str], tuple[str, ...]]] = [
-            (street(STREET_EN), ()), (frozenset(), (*ends, *(_fold(x.replace("\\", "")) for x in STREET_DE_WORD.split("|")))), (frozenset("am an auf im in zum zur alte alter neue".split()), ()),
-            (street(STREET_FR), ()), (street(STREET_ES_PT), ()), (street("ул|улица|пр|проспект|пер|переулок|наб|набережная"), ()),
+        self.cue_words = self.name_words | self.title_words | self.weak_words
+        self.number = c(r"\d")
+        # German street words end longer ones, so their last letters are looked for
+        ends = frozenset(_tokens(_fold(x.replace("\\", "")))[-1][-3:] for x in f"{STREET_DE}|{STREET_DE_WORD}".split("|"))
+        none: frozenset[str] = frozenset()
+        self.address_words = [
+            (street(STREET_EN), none), (none, ends), (frozenset("am an auf im in zum zur alte alter neue".split()), none),
+            (street(STREET_FR), none), (street(STREET_ES_PT), none), (street("ул|улица|пр|проспект|пер|переулок|наб|набережная"), none),
         ]
 
 
@@ -156,7 +160,12 @@ PARTICLES = frozenset("van von der den de del della di da das dos do du la los l
 _MARKS, _TOKEN, _DIGIT = regex.compile(r"\p{M}+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d")
 #: A word with its hyphens and apostrophes, in folded text.
 _NAME_WORD = regex.compile(r"\p{L}[\p{L}'’-]*")
-_tokens = _TOKEN.findall
+_ascii_tokens = re.compile("[a-z]+").findall
+
+
+def _tokens(low: str) -> list[str]:
+    """Runs of letters of a folded text."""
+    return _ascii_tokens(low) if low.isascii() else _TOKEN.findall(low)
 
 
 def _fold(s: str) -> str:
@@ -281,13 +290,18 @@ def find(p: Patterns, text: str, family: frozenset[str] = frozenset(), names_onl
 
     low = _fold(text)
     own = frozenset(_tokens(low))
+    cued = not own.isdisjoint(p.cue_words)
+    taught = not own.isdisjoint(_heads(family)) or not own.isdisjoint(_ends(full))
+    if not cued and not taught and (names_only or not (p.number.search(text) or "@" in text or "at" in own)):
+        return items
     digits = len(_DIGIT.findall(text))
     if not names_only and ("@" in text or "at" in own) and p.at.search(text):
         for m in p.email.finditer(text):
             add(m.start(1), m.end(), "email")
     if digits:
+        tails = {t[-3:] for t in own}
         for rx, (some, inside) in zip(p.address, p.address_words):
-            if not own.isdisjoint(some) or any(x in low for x in inside):
+            if not own.isdisjoint(some) or not tails.isdisjoint(inside):
                 for m in rx.finditer(text):
                     add(m.start(), m.end(), "address")
     if not names_only and digits >= 6:
@@ -320,8 +334,7 @@ def find(p: Patterns, text: str, family: frozenset[str] = frozenset(), names_onl
                 j = words.last_of(i)
                 if j is not None and (not weak or any(words.known(k) for k in range(i, j + 1))):
                     add(words.start[i], words.end[j], "name")
-    every = frozenset(_NAME_WORD.findall(low)) if family or full else frozenset()
-    if not every.isdisjoint(family) or not every.isdisjoint(_ends(full)):
+    if taught:
         words = words or _Words(p, text, family, given)
         for j in range(len(words.raw)):
             if words.fold[j] in family:
@@ -334,9 +347,16 @@ def find(p: Patterns, text: str, family: frozenset[str] = frozenset(), names_onl
     return sorted(items)
 
 
+@lru_cache(maxsize=8)
+def _heads(family: frozenset[str]) -> frozenset[str]:
+    """The first run of letters of each family name; a text without any has none of them."""
+    return frozenset(_tokens(x)[0] for x in family)
+
+
 @lru_cache(maxsize=8)
 def _ends(full: frozenset[str]) -> frozenset[str]:
-    return frozenset(x.rpartition(" ")[2] for x in full)
+    """The same of the last words of full names."""
+    return _heads(frozenset(x.rpartition(" ")[2] for x in full))
 
 
 @lru_cache(maxsize=8)
