@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import text as T
 from tidewright.functions import vectors as V
 from tidewright.operators import bm25, chunking, dense, embedding, fusion, memory, retrieval, scoring, state, telemetry, tools
-from tidewright.session import first, table
+from tidewright.session import first, table, widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,7 +56,7 @@ def _asked(spark: SparkSession, n: int = len(ASKED)) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text")
+    return widen(table(spark, d, "documents", "doc_id", "text"))
 
 
 # ------------------------------------------------------------------ retrieval
@@ -323,7 +323,7 @@ def _sparse(rows: DataFrame) -> DataFrame:
 
 @query(_embed_sql(r"regexp_extract_all(lower(text), '(\S+)', 1)", 128))
 def hash_embed_word(spark: SparkSession, d: str) -> DataFrame:
-    return _sparse(table(spark, d, "text_chunks", "chunk_id", "text").where("text IS NOT NULL").select("chunk_id", V.word_embedding(F.col("text")).alias("v")))
+    return _sparse(widen(table(spark, d, "text_chunks", "chunk_id", "text")).where("text IS NOT NULL").select("chunk_id", V.word_embedding(F.col("text")).alias("v")))
 
 
 _TRI = "list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(lower(text), i, 3))"
@@ -331,12 +331,12 @@ _TRI = "list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr
 
 @query(_embed_sql(_TRI, 128))
 def hash_embed_trigram128(spark: SparkSession, d: str) -> DataFrame:
-    return _sparse(table(spark, d, "text_chunks", "chunk_id", "text").where("text IS NOT NULL").select("chunk_id", V.trigram_embedding(F.col("text")).alias("v")))
+    return _sparse(widen(table(spark, d, "text_chunks", "chunk_id", "text")).where("text IS NOT NULL").select("chunk_id", V.trigram_embedding(F.col("text")).alias("v")))
 
 
 @query(_embed_sql(_TRI, 256))
 def hash_embed_trigram256(spark: SparkSession, d: str) -> DataFrame:
-    return _sparse(table(spark, d, "text_chunks", "chunk_id", "text").where("text IS NOT NULL").select("chunk_id", V.trigram_embedding(F.col("text"), 256).alias("v")))
+    return _sparse(widen(table(spark, d, "text_chunks", "chunk_id", "text")).where("text IS NOT NULL").select("chunk_id", V.trigram_embedding(F.col("text"), 256).alias("v")))
 
 
 @query(
@@ -378,7 +378,7 @@ tok AS (SELECT pair_id, regexp_extract_all(lower(candidate), '(\S+)', 1) AS c, r
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "agent_runs", F.col("run_id").alias("pair_id"), F.coalesce("final_answer", F.lit("")).alias("candidate"), F.coalesce("task", F.lit("")).alias("reference")).distinct()
+    return widen(table(spark, d, "agent_runs", "run_id", "final_answer", "task")).select(F.col("run_id").alias("pair_id"), F.coalesce("final_answer", F.lit("")).alias("candidate"), F.coalesce("task", F.lit("")).alias("reference")).distinct()
 
 
 def _grams_sql(n: int) -> str:
