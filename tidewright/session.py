@@ -44,9 +44,10 @@ def durable(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewright-"))
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewright-"))
     return df.checkpoint(eager=True)
 
 
