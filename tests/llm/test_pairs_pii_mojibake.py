@@ -202,3 +202,15 @@ def test_letters_of_a_script_that_the_sample_lacks_are_sound(spark):
     assert set("δρομλγητή") <= own and not own & set("éÃ©в")
     out = {r["doc"]: r["damaged"] for r in mojibake.repair(df, "doc", "body", "l").collect()}
     assert out[600] and not any(out[500 + i] for i in range(5))
+
+
+def test_personal_data_in_empty_tables_and_dirt(spark):
+    names = spark.createDataFrame([("Grace",)], "given_name string")
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "Call me on (212) 555-0147."), (5, "Grace\x00 \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16", "replace")), (6, "My name is Grace Penhaligan. " * 3000), (6, "My name is Grace Penhaligan. " * 3000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "m bigint, body string, value string")
+    for own, given in ((df, names), (df, names.where("false")), (df.where("false"), names)):
+        found = pii.items(own, "m", "body", given)
+        out = pii.redact(own, "m", "body", found, b"k").collect()
+        assert len(out) == own.count()
+    found = pii.items(df, "m", "body", names).groupBy("m", "pii_type").count().collect()
+    assert {(r["m"], r["pii_type"]): r["count"] for r in found} == {(None, "phone"): 1, (6, "name"): 3000}
