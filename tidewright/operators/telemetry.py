@@ -242,15 +242,47 @@ def _sliced(rows: DataFrame, seconds: Column | float, wide: float) -> DataFrame:
     return each.withColumn("__own", F.col("__slice") == F.col("__s")).drop("__s")
 
 
+class _Frame:
+    """Sums over the last ``micros`` microseconds up to each row, as the sum up to the row less the sum before the frame.
+
+    Both parts only grow along the order, so each row is added twice, however many rows a frame holds.
+    """
+
+    def __init__(self, by: list[str], micros: int):
+        w = Window.partitionBy(*by).orderBy("__t")
+        self.upto, self.before = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.unboundedPreceding, -micros - 1)
+
+    def count(self, flag: Column) -> Column:
+        one = F.when(flag, 1).otherwise(0)
+        return F.sum(one).over(self.upto) - F.coalesce(F.sum(one).over(self.before), F.lit(0))
+
+    def total(self, value: Column) -> Column:
+        """Null where no row of the frame has a value."""
+        sums = F.coalesce(F.sum(value).over(self.upto), F.lit(0)) - F.coalesce(F.sum(value).over(self.before), F.lit(0))
+        return F.when(self.count(value.isNotNull()) > 0, sums)
+
+    def mean(self, value: Column) -> Column:
+        return self.total(value) / self.count(value.isNotNull())
+
+    def span(self) -> Column:
+        """Seconds between the frame's first row and the last: ``__next`` is the time of the row behind each row."""
+        start = F.coalesce(F.max("__next").over(self.before), F.min("epoch").over(self.upto))
+        return F.greatest(F.col("epoch") - start, F.lit(0.001))
+
+
+def _with_next(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.withColumn("__next", F.lead("epoch").over(Window.partitionBy(*by).orderBy("__t")))
+
+
 def sliding(log: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     """At each request: mean latency, error rate, cost and tokens of the ``seconds`` up to it, and throughput over its span."""
-    rows = _sliced(log.select(*keys, "request_id", "epoch", "latency_ms", "success", "cost", "total_tokens"), seconds, 4 * seconds)
-    w = Window.partitionBy(*keys, "__slice").orderBy("__t").rangeBetween(-int(seconds * 1e6), Window.currentRow)
-    n = F.count("*").over(w)
-    span = F.greatest(F.max("epoch").over(w) - F.min("epoch").over(w), F.lit(0.001))
+    by = [*keys, "__slice"]
+    rows = _with_next(_sliced(log.select(*keys, "request_id", "epoch", "latency_ms", "success", "cost", "total_tokens"), seconds, 4 * seconds), by)
+    f = _Frame(by, int(seconds * 1e6))
+    n = f.count(F.lit(True))
     out = rows.select(
-        *keys, "request_id", "epoch", "__own", n.alias("n"), F.avg("latency_ms").over(w).alias("latency"), F.avg((~F.col("success")).cast("double")).over(w).alias("error_rate"), F.sum("cost").over(w).alias("cost"),
-        F.sum("total_tokens").over(w).alias("tokens"), F.when(n < 2, F.lit(0.0)).otherwise(n / span).alias("throughput"),
+        *keys, "request_id", "epoch", "__own", n.alias("n"), f.mean(F.col("latency_ms")).alias("latency"), f.mean((~F.col("success")).cast("double")).alias("error_rate"), f.total(F.col("cost")).alias("cost"),
+        f.total(F.col("total_tokens")).alias("tokens"), F.when(n < 2, F.lit(0.0)).otherwise(n / f.span()).alias("throughput"),
     )
     return out.where("__own").drop("__own")
 
@@ -270,20 +302,17 @@ def rule_values(log: DataFrame, rules: DataFrame) -> DataFrame:
     met = log.select("epoch", "request_id", "provider", "model", "latency_ms", "success", "cost", "total_tokens").join(short, scope(F.col("providers"), "provider") & scope(F.col("models"), "model"))
     width = rules.agg(F.max("seconds").alias("x")).first()["x"] or 1.0
     rows = _sliced(met, F.col("seconds"), 4 * float(width))
-    # windows differ by rule, so the frame is the widest and rows beyond a rule's own are told by their time
-    parts = Window.partitionBy("rule", "__slice")
-    out = None
+    by, out = ["rule", "__slice"], None
     for seconds in sorted({r["seconds"] for r in rules.select("seconds").distinct().collect()}):  # as many as rules
-        w = parts.orderBy("__t").rangeBetween(-int(seconds * 1e6), Window.currentRow)
-        n = F.count("*").over(w)
-        span = F.greatest(F.max("epoch").over(w) - F.min("epoch").over(w), F.lit(0.001))
-        good = F.avg(F.col("success").cast("double")).over(w)
+        f = _Frame(by, int(seconds * 1e6))
+        n, good = f.count(F.lit(True)), f.mean(F.col("success").cast("double"))
         value = (
-            F.when(F.col("metric") == "latency", F.coalesce(F.sum("latency_ms").over(w), F.lit(0.0)) / n).when(F.col("metric") == "success_rate", good).when(F.col("metric") == "error_rate", 1 - good)
-            .when(F.col("metric") == "cost", F.coalesce(F.sum("cost").over(w), F.lit(0.0))).when(F.col("metric") == "token_count", F.coalesce(F.sum("total_tokens").over(w), F.lit(0)).cast("double"))
-            .when(F.col("metric") == "throughput", F.when(n < 2, F.lit(0.0)).otherwise(n / span)).otherwise(F.lit(0.0))
+            F.when(F.col("metric") == "latency", F.coalesce(f.total(F.col("latency_ms")), F.lit(0.0)) / n).when(F.col("metric") == "success_rate", good).when(F.col("metric") == "error_rate", 1 - good)
+            .when(F.col("metric") == "cost", F.coalesce(f.total(F.col("cost")), F.lit(0.0))).when(F.col("metric") == "token_count", F.coalesce(f.total(F.col("total_tokens")), F.lit(0)).cast("double"))
+            .when(F.col("metric") == "throughput", F.when(n < 2, F.lit(0.0)).otherwise(n / f.span())).otherwise(F.lit(0.0))
         )
-        own = rows.where(F.col("seconds") == seconds).select("rule", "epoch", "request_id", "provider", "model", value.alias("value"), "op", "bound", "cooldown", "__own").where("__own").drop("__own")
+        each = _with_next(rows.where(F.col("seconds") == seconds), by)
+        own = each.select("rule", "epoch", "request_id", "provider", "model", value.alias("value"), "op", "bound", "cooldown", "__own").where("__own").drop("__own")
         out = out.unionByName(own) if out else own
     return out if out is not None else met.select("rule", "epoch", "request_id", "provider", "model", F.lit(0.0).alias("value"), "op", "bound", "cooldown")
 
