@@ -4,7 +4,7 @@ task with a small state; keys are spread by hash. A single cache or bucket is on
 from __future__ import annotations
 
 import heapq
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -134,23 +134,24 @@ def lru_cache(ops: DataFrame, cache: str, capacity: int, ttl: float | None = Non
 def semantic_cache(ops: DataFrame, cache: str, least: float = 0.92, recent: int = 20) -> DataFrame:
     """Lookups with vectors (cache, epoch, op_id, key, vec): exact key, else the most similar of the ``recent`` last stored keys."""
 
-    def step(held: OrderedDict, row):
+    def step(store: tuple[set, deque], row):
+        held, last = store
         if row.key in held:
-            return held, ("exact", row.key, 1.0)
+            return store, ("exact", row.key, 1.0)
         v = np.asarray(row.vec, float)
         length = np.linalg.norm(v)
         best, near = -1.0, None
-        for key in list(held)[-recent:]:
-            w, n = held[key]
+        for key, w, n in last:
             c = float(v @ w / (length * n)) if length and n else 0.0
             if c > best:
                 best, near = c, key
         if near is not None and best >= least:
-            return held, ("similar", near, best)
-        held[row.key] = (v, length)
-        return held, ("miss", None, best if near is not None else None)
+            return store, ("similar", near, best)
+        held.add(row.key)
+        last.append((row.key, v, length))
+        return store, ("miss", None, best if near is not None else None)
 
-    return fold(ops.select(cache, "epoch", "op_id", "key", "vec"), [cache], ["epoch", "op_id"], OrderedDict, step, "outcome string, found string, similarity double")
+    return fold(ops.select(cache, "epoch", "op_id", "key", "vec"), [cache], ["epoch", "op_id"], lambda: (set(), deque(maxlen=recent)), step, "outcome string, found string, similarity double")
 
 
 def bounded_memory(ops: DataFrame, store: str, capacity: int) -> DataFrame:
