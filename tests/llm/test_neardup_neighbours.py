@@ -141,6 +141,22 @@ def test_neighbours_recall_dirt_and_ties(spark):
         assert got[8][0] == 6006
 
 
+def test_neighbours_beyond_a_border_are_found_among_many_cells(spark):
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(600, 32)), 10, axis=0) + 0.6 * rng.normal(size=(6000, 32))).astype(np.float32)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)]
+    want, got = _brute(rows, 32), {}
+    for r in neighbours.neighbours(spark.createDataFrame(rows, "k bigint, v array<double>"), "k", "v", 32, cell=10).collect():
+        got.setdefault(r["id"], []).append(r["neighbor_id"])
+    assert set(got) == set(want) and all(len(set(near)) == 5 for near in got.values())
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.99 * 5 * len(want)
+
+
+def test_cells_are_fitted_on_different_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 7)]) for i in range(70)], "k bigint, v array<double>")
+    assert neighbours._sample(neighbours.units(df, "k", "v", 2), 7, 7).count() == 7
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None)], "k bigint, v array<double>")
     assert {(r["id"], r["neighbor_id"]) for r in neighbours.neighbours(few, "k", "v", 2).collect()} == {(1, 2), (2, 1)}
