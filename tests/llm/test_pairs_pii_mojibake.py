@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import mojibake, pairs, pii
 
@@ -204,6 +205,19 @@ def test_letters_of_a_script_that_the_sample_lacks_are_sound(spark):
     assert out[600] and not any(out[500 + i] for i in range(5))
 
 
+def test_all_sound_texts_teach_whatever_their_number_and_length(spark):
+    order = [r[0] for r in spark.range(1200).orderBy(F.xxhash64("id")).collect()]  # the last ones were beyond the sample
+    late = "Das Straßenverzeichnis enthält den Schlüssel {}, der Zähler läuft weiter."
+    rows = [(i, (late if n >= 800 else "Der Dienst misst die Anfrage {} und schreibt sie in das Protokoll.").format(i), "de") for n, i in enumerate(order)]
+    rows += [(2000 + i, f"Το αρχείο {i} είναι μεγάλο. " * 300, "el") for i in range(20)]  # 7,000 characters each
+    df = spark.createDataFrame(rows, "doc bigint, body string, l string")
+    dictionaries, familiar = mojibake.train(df, "body", "l", "doc")
+    assert "Straßenverzeichnis".encode() in dictionaries["de"] and "αρχείο".encode() in dictionaries["el"]
+    assert set("ßäüαρχείο") <= familiar
+    again, same = mojibake.train(df.repartition(7), "body", "l", "doc")
+    assert again == dictionaries and same == familiar
+
+
 def test_personal_data_in_empty_tables_and_dirt(spark):
     names = spark.createDataFrame([("Grace",)], "given_name string")
     rows = [(1, None), (2, ""), (3, " \n"), (None, "Call me on (212) 555-0147."), (5, "Grace\x00 \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16", "replace")), (6, "My name is Grace Penhaligan. " * 3000), (6, "My name is Grace Penhaligan. " * 3000)]
